@@ -29,3 +29,14 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
 
 def keep(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[n for n in names if n in df.columns])
+
+
+def fence(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Keep later filters above this point.
+
+    The optimizer moves a filter below projections by writing their expressions into it. After a long chain of
+    columns that build on each other that text grows exponentially. A one-row ``inline`` stops the move; it
+    runs inside the same generated code and does not shuffle.
+    """
+    names = list(columns) if columns is not None else df.columns
+    return df.select(F.inline(F.array(F.struct(*names))))

@@ -21,6 +21,16 @@ def number(value, fill: float | None = None) -> Column:
     return clean if fill is None else F.coalesce(clean, F.lit(float(fill)))
 
 
+def filled(value, fill: float) -> Column:
+    """A numeric column with NULL replaced; for columns that were already read with :func:`number`."""
+    return F.coalesce(as_col(value).cast("double"), F.lit(float(fill)))
+
+
+def bounded(value, low: float, high: float) -> Column:
+    """Bound a column that is never NULL; names it once, which keeps long expression chains small."""
+    return F.least(F.greatest(as_col(value), F.lit(float(low))), F.lit(float(high)))
+
+
 def ratio(numerator, denominator, fill: float | None = None) -> Column:
     """Safe division: NULL parts, zero denominators and non-finite results become ``fill``."""
     q = F.try_divide(as_col(numerator).cast("double"), as_col(denominator).cast("double"))
