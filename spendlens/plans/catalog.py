@@ -1,4 +1,4 @@
 """Every named query. Importing the query modules fills the registry."""
 
-from . import performance_queries, risk_queries  # noqa: F401
+from . import book_queries, performance_queries, risk_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
