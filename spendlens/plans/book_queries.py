@@ -170,7 +170,7 @@ SELECT campaign_id, text, type FROM (SELECT campaign_id, 'Performing' AS text, '
   UNION ALL SELECT campaign_id, 'Strong Lead Volume', 'info' FROM s WHERE running_cid_leads > 0 AND running_cid_leads >= plan_td)""")
 def _(spark, sf):
     rows = scoring.score_risk(tb.campaigns(spark, sf)).where("is_safe")
-    return rows.select("campaign_id", F.explode(ops.positive_pills(rows)).alias("p")).select("campaign_id", "p.text", "p.type")
+    return rows.select("campaign_id", F.explode_outer(ops.positive_pills(rows)).alias("p")).where("p is not null").select("campaign_id", "p.text", "p.type")
 
 
 @query("cpl_badges", f"""{tb.with_tables("camp")} SELECT campaign_id, CASE WHEN running_cid_cpl / nullif(cpl_goal, 0) <= 1 THEN 'perf-good'

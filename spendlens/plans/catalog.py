@@ -1,4 +1,10 @@
 """Every named query. Importing the query modules fills the registry."""
 
-from . import book_queries, performance_queries, risk_queries  # noqa: F401
+from . import (  # noqa: F401
+    benchmark_queries,
+    book_queries,
+    performance_queries,
+    risk_queries,
+    trajectory_queries,
+)
 from .registry import ORACLE, QUERIES  # noqa: F401

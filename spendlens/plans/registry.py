@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -17,7 +19,7 @@ def query(name: str, sql: str | None = None):
     def add(build):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, sf_dir: build(tune(spark), sf_dir)
         if sql is not None:
             ORACLE[name] = sql
         return build

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 @query("risk_drivers", f"""{TO_DRIVERS} SELECT campaign_id, name, points, is_controllable, lift_x FROM drivers""")
 def _(spark, sf):
-    rows = churn.attach_drivers(scored_rows(spark, sf)).select("campaign_id", F.explode("risk_drivers.drivers").alias("d"))
+    rows = churn.attach_drivers(scored_rows(spark, sf)).select("campaign_id", F.explode_outer("risk_drivers.drivers").alias("d")).where("d is not null")
     return rows.select("campaign_id", "d.name", "d.points", "d.is_controllable", "d.lift_x")
 
 
@@ -197,7 +197,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY campaign_id ORDER BY seq) - 1 AS
 JOIN scale USING (campaign_id) JOIN churn c USING (campaign_id)""".replace("d.campaign_id, seq,", "d.campaign_id, CAST(pos AS INTEGER) AS seq,"))
 def _(spark, sf):
     rows = churn.rescaled_points(churn.attach_drivers(scored_rows(spark, sf)), F.lit(0.40))
-    return rows.select("campaign_id", F.posexplode("rescaled_drivers").alias("seq", "d")).select(
+    return rows.select("campaign_id", F.posexplode_outer("rescaled_drivers").alias("seq", "d")).where("d is not null").select(
         "campaign_id", "seq", F.round("d.points", 6).alias("points"))
 
 
@@ -262,7 +262,7 @@ def _(spark, sf):
     FROM churn WHERE NOT is_safe AND rar >= 2000)
 SELECT campaign_id, CAST(row_number() OVER (PARTITION BY campaign_id ORDER BY pos) - 1 AS INTEGER) AS seq, text, type FROM pill""")
 def _(spark, sf):
-    rows = narrative.attach_pills(scored_rows(spark, sf)).select("campaign_id", F.posexplode("diagnosis_pills").alias("seq", "p"))
+    rows = narrative.attach_pills(scored_rows(spark, sf)).select("campaign_id", F.posexplode_outer("diagnosis_pills").alias("seq", "p")).where("p is not null")
     return rows.select("campaign_id", "seq", "p.text", "p.type")
 
 
@@ -302,7 +302,7 @@ SELECT campaign_id, title, impact, cta, CAST(pos AS INTEGER) AS pos FROM (SELECT
   FROM act WHERE impact > 0) WHERE pos < 3""")
 def _(spark, sf):
     rows = narrative.attach_actions(churn.attach_drivers(scored_rows(spark, sf)))
-    return rows.select("campaign_id", F.posexplode("actions").alias("pos", "a")).select(
+    return rows.select("campaign_id", F.posexplode_outer("actions").alias("pos", "a")).where("a is not null").select(
         "campaign_id", "pos", "a.title", "a.impact", "a.cta")
 
 
@@ -323,7 +323,7 @@ def _(spark, sf):
     w = F.col("waterfall")
     return rows.select("campaign_id", w["baseline_pp"].alias("baseline_pp"), w["total_pct"].alias("total_pct"),
                        w["math_total_unclamped"].alias("math_total_unclamped"), w["note"].alias("note"),
-                       F.explode(w["drivers"]).alias("d")).select(
+                       F.explode_outer(w["drivers"]).alias("d")).where("d is not null").select(
         "campaign_id", "baseline_pp", "total_pct", "math_total_unclamped", "note", "d.label", "d.pp", "d.type")
 
 
@@ -334,7 +334,7 @@ bar AS (SELECT campaign_id, 0 AS pos, 'Baseline' AS label, 'baseline' AS kind, 0
 SELECT campaign_id, CAST(pos AS INTEGER) AS pos, label, kind, bar_left, bar_width, pp FROM bar""")
 def _(spark, sf):
     rows = waterfall.bar_geometry(waterfall.waterfall_of_scores(churn.attach_drivers(scored_rows(spark, sf))))
-    return rows.select("campaign_id", F.posexplode("bars").alias("pos", "b")).select(
+    return rows.select("campaign_id", F.posexplode_outer("bars").alias("pos", "b")).where("b is not null").select(
         "campaign_id", "pos", "b.label", "b.kind", F.col("b.left").alias("bar_left"), F.col("b.width").alias("bar_width"), "b.pp")
 
 
@@ -343,7 +343,7 @@ CAST(round_even(base_p * 100, 0) AS INTEGER) AS baseline_pp, name, CAST(trunc(po
 def _(spark, sf):
     rows = waterfall.stored_waterfall(churn.attach_drivers(scored_rows(spark, sf)))
     return rows.select("campaign_id", "churn_waterfall.total_pct", "churn_waterfall.baseline_pp",
-                       F.explode("churn_waterfall.drivers").alias("d")).select(
+                       F.explode_outer("churn_waterfall.drivers").alias("d")).where("d is not null").select(
         "campaign_id", "total_pct", "baseline_pp", "d.name", "d.points")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import fence
 from ..functions.numeric import number
 from ..operators.risk import churn, goals, narrative, priority, waterfall
 from ..operators.risk.params import CURRENT, LEGACY, RiskParams
@@ -17,9 +16,12 @@ NEUTRAL = {"churn_prob_90d": 0.15, "flare_score": 50.0, "priority_index": 50.0,
 
 
 def score_risk(campaigns: DataFrame, params: RiskParams = CURRENT) -> DataFrame:
-    """Everything that needs only the campaign's own row: no shuffle, no Python worker."""
+    """Everything that needs only the campaign's own row: no shuffle, no Python worker.
+
+    To filter on a result column, pass the columns you need through ``functions.columns.fence`` first.
+    """
     prepared = goals.set_goals(goals.prepare_campaigns(campaigns, params))
-    return fence(priority.priority_index(churn.score_churn(prepared, params), params))
+    return priority.priority_index(churn.score_churn(prepared, params), params)
 
 
 def score_book(campaigns: DataFrame, ids: Sequence[str] = ("campaign_id",), params: RiskParams = CURRENT) -> DataFrame:
