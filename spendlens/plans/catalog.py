@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     benchmark_queries,
     book_queries,
+    operations_queries,
     performance_queries,
     risk_queries,
     trajectory_queries,
