@@ -31,3 +31,10 @@ def clean_headers(names: Sequence[str], renames: Mapping[str, str] | None = None
     renames = renames or {}
     plain = [normalize(n, percent) for n in numbered([n.strip().strip('"').lstrip("﻿") for n in names])]
     return [renames.get(n, n) for n in plain]
+
+
+def as_written(names: Sequence[str]) -> list[str]:
+    """Undo the position numbers Spark's CSV reader appends to repeated headers."""
+    bare = [n[: -len(str(i))] if n.endswith(str(i)) else None for i, n in enumerate(names)]
+    repeated = {b.lower() for b in bare if b and sum(1 for o in bare if o and o.lower() == b.lower()) > 1}
+    return [b if b and b.lower() in repeated else n for b, n in zip(bare, names)]

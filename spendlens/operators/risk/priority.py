@@ -53,10 +53,10 @@ def sliding_to_zero(ratio: Column, leads: Column, days: Column, progress: Column
 
 def priority_tier(df: DataFrame, params: RiskParams = CURRENT) -> DataFrame:
     """Safe, urgent, high or monitor. Spend progress is uncapped here and a deficit needs no viability."""
-    ratio, churn = filled("cpl_ratio", 0.0), filled("churn_prob_90d", 0.0)
+    ratio, churn = filled(optional(df, "cpl_ratio"), 0.0), filled("churn_prob_90d", 0.0)
     leads, days = filled("running_cid_leads", 0.0), filled("days_elapsed", 0.0)
-    plan = filled("expected_leads_to_date", 0.0)
-    cycle = filled("avg_cycle_length", params.average_cycle)
+    plan = filled(optional(df, "expected_leads_to_date"), 0.0)
+    cycle = filled(optional(df, "avg_cycle_length"), params.average_cycle)
     cycle = F.when(cycle == 0, params.average_cycle).otherwise(cycle)
     ideal = filled("campaign_budget", 0.0) / cycle * days
     progress = F.coalesce(F.try_divide(filled("amount_spent", 0.0), ideal), F.lit(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import raw_text_flags
-from ..functions.headers import clean_headers
+from ..functions.headers import as_written, clean_headers
 from .configs import Source
 
 FILE_DATE = r"(\d{4}-\d{2}-\d{2})"
@@ -30,7 +30,7 @@ def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def encoding_class(content: Column) -> Column:
     mark = F.hex(F.substring(content, 1, 3))
-    latin = F.decode(content, F.lit("ISO-8859-1"))
+    latin = F.decode(content, "ISO-8859-1")
     unmapped = F.lit(False)
     for code in NOT_WINDOWS:
         unmapped = unmapped | latin.contains(F.char(F.lit(code)))
@@ -44,7 +44,7 @@ def encoding_class(content: Column) -> Column:
 
 def classified(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """One row per file: path, name, modification time, encoding class and content guards."""
-    head = F.decode(F.substring("content", 1, 4096), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
     flags = raw_text_flags(head)
     return raw_files(spark, path, pattern).select(
         "path",
@@ -110,7 +110,7 @@ def read_reports(spark: SparkSession, path: str, source: Source, latest: bool =
     out = None
     for kind, paths in sorted(groups.items()):
         part = read_table_files(spark, paths, kind, quoting)
-        named = clean_headers([c for c in part.columns if c != "source_file"], source.renames)
+        named = clean_headers(as_written([c for c in part.columns if c != "source_file"]), source.renames)
         part = part.toDF(*named, "source_file")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
