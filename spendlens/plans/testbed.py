@@ -122,15 +122,19 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend and leads per campaign and month."""
-    lines = table(spark, sf_dir, "lineitem")
-    keyed = lines.join(_orders_with_accounts(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        *_exprs(HISTORY_KEYS),
+    month = HISTORY_KEYS["report_month"]
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.expr(month).alias("report_month"),
         F.expr("cast(floor(l_extendedprice * l_discount * 100) as bigint)").alias("cents"),
         F.expr("cast(l_quantity as bigint)").alias("units"),
     )
-    totals = keyed.groupBy(*HISTORY_KEYS).agg(F.sum("cents").alias("cents"), F.sum("units").alias("units"))
-    return totals.select(
-        *HISTORY_KEYS,
+    # The other keys depend on the order alone, so lines are added up before the accounts are joined.
+    totals = lines.groupBy("l_orderkey", "report_month").agg(F.sum("cents").alias("cents"), F.sum("units").alias("units"))
+    keys = {n: e for n, e in HISTORY_KEYS.items() if n != "report_month"}
+    return totals.join(_orders_with_accounts(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *_exprs(keys),
+        "report_month",
         (F.col("cents") / 1e2).alias("spend"),
         F.expr("units % 11").alias("leads"),
         F.expr("case when units % 11 > 0 then (cents / 1e2) / (units % 11) end").alias("cost_per_lead"),
