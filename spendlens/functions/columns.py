@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -40,3 +41,8 @@ def fence(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """
     names = list(columns) if columns is not None else df.columns
     return df.select(F.inline(F.array(F.struct(*names))))
+
+
+def wall_time(value: dt.datetime) -> Column:
+    """A timestamp literal that no session time zone shifts."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")

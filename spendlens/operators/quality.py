@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import wall_time
 from .joins import top_per_key
 from .risk.params import CATEGORY_LTV
 
@@ -71,7 +72,7 @@ def freshness_hours(stamps: Sequence[tuple[DataFrame, str]], as_of: dt.datetime)
     for df, column in stamps:
         row = df.agg(F.max(column).cast("timestamp_ntz").alias("latest"))
         newest = row if newest is None else newest.unionByName(row)
-    micros = F.timestamp_diff("MICROSECOND", F.col("latest"), F.lit(as_of).cast("timestamp_ntz"))
+    micros = F.timestamp_diff("MICROSECOND", F.col("latest"), wall_time(as_of))
     return newest.agg(F.max("latest").alias("latest")).select(
         "latest", F.coalesce(micros / F.lit(3.6e9), F.lit(float("inf"))).alias("freshness_hours")
     )
@@ -123,7 +124,7 @@ def recent_alerts(alerts: DataFrame, n: int = 10) -> DataFrame:
 
 def within_hours(log: DataFrame, as_of: dt.datetime, hours: int = 24, stamp: str = "created_at") -> DataFrame:
     """Log rows of the last ``hours``."""
-    return log.where(F.col(stamp) >= F.lit(as_of - dt.timedelta(hours=hours)).cast("timestamp_ntz"))
+    return log.where(F.col(stamp) >= wall_time(as_of - dt.timedelta(hours=hours)))
 
 
 def last_executions(run_log: DataFrame, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as cl
+from ..functions.columns import wall_time
 from ..functions.headers import clean_headers
 from ..operators import tables
 from ..sources.configs import Source
@@ -39,7 +40,7 @@ def add_metadata(df: DataFrame, loaded_at: dt.datetime, as_of: dt.date) -> DataF
     """``snapshot_date`` from the file name, else ``as_of``; and the load time."""
     day = F.try_to_date(F.regexp_extract("source_file", FILE_DATE, 1), "yyyy-MM-dd")
     return df.withColumns(
-        {"snapshot_date": F.coalesce(day, F.lit(as_of)), "extracted_at": F.lit(loaded_at).cast("timestamp_ntz")}
+        {"snapshot_date": F.coalesce(day, F.lit(as_of)), "extracted_at": wall_time(loaded_at)}
     )
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as cl
+from ..functions.columns import wall_time
 from ..operators import quality as q
 from ..operators import tables
 from ..sources import reports
@@ -210,7 +211,7 @@ def _(spark, sf):
 SELECT user_id, 'data_quality' AS alert_type, CASE WHEN h < 48 THEN 'warning' ELSE 'error' END AS level FROM m WHERE h > 26
 UNION ALL SELECT user_id, 'job_failed', 'warning' FROM m WHERE f > 3""")
 def _(spark, sf):
-    as_of = F.lit(dt.datetime(2024, 1, 31, 6)).cast("timestamp_ntz")
+    as_of = wall_time(dt.datetime(2024, 1, 31, 6))
     metrics = tb.table(spark, sf, "events").groupBy("user_id").agg(
         (F.timestamp_diff("SECOND", F.max("ts"), as_of) / F.lit(3600.0)).alias("freshness_hours"),
         F.count_if(F.col("value") >= 50).alias("failed_jobs_24h"))

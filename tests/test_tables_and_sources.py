@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.operators import book, reports as report_ops, tables, trajectory
-from spendlens.operators.joins import bounded_dimension
+from spendlens.operators.joins import bounded_dimension, newest_per_key, top_per_key
 from spendlens.plans import ingest, scoring
 from spendlens.sources import configs, files, reports
 from spendlens.streaming import drops
@@ -219,3 +219,46 @@ def test_bounded_dimension(spark):
 def test_playbook_gap(spark):
     df = spark.createDataFrame([(["Search"],), (["Search", "SEO", "DASH"],), (None,)], "p array<string>")
     assert [r[0] for r in book.with_missing_product(df, "p").select("missing_product").collect()] == ["SEO", None, "Search"]
+
+
+def test_top_per_key_trims_before_the_shuffle(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    for df in (top_per_key(lines, ["l_orderkey"], [F.desc("l_shipdate")], 3), newest_per_key(lines, ["l_orderkey"], [F.desc("l_shipdate")])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan.split("Exchange hashpartitioning", 1)[1]
+        assert "WindowGroupLimit" in below
+
+
+def test_scoring_has_no_shuffle_and_no_python(spark, small):
+    from spendlens.plans import testbed as tb
+
+    rows = spark.createDataFrame(tb.campaigns(spark, small).limit(50).collect(), tb.campaigns(spark, small).schema)
+    plan = scoring.score_risk(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, small):
+    from spendlens.operators import performance
+    from spendlens.plans import performance_queries as pq
+
+    df = performance.filter_performance(pq.performance(spark, small), channel="2-HIGH").select("campaign_id", "actual_spend")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = [line for line in plan.split("\n") if "orders.parquet" in line][0]
+    assert "EqualTo(o_orderpriority,2-HIGH)" in scan
+    assert "o_orderstatus" not in scan
+
+
+def test_campaign_tables(spark):
+    from spendlens.operators import quality
+
+    spark.range(1).withColumnRenamed("id", "mcid_clicks").createOrReplaceTempView("clicks_view")
+    assert "clicks_view" in quality.campaign_tables(spark)
+
+
+def test_reports_by_name(spark):
+    from spendlens.operators import reports as r
+
+    assert r.date_range("campaign_performance", AS_OF) == (AS_OF - dt.timedelta(days=30), AS_OF)
+    assert r.date_range("executive_summary", AS_OF)[0] == AS_OF - dt.timedelta(days=365)
+    with pytest.raises(KeyError):
+        r.build_report("nope", None, AS_OF)
