@@ -17,7 +17,7 @@ HEADLINE = (
     "campaign_performance", "executive_dashboard_all_months", "campaign_summary_range", "trend_cpl_month", "partner_pipeline_health",
     "churn_probability", "risk_drivers", "flare_scores", "churn_waterfall", "partner_rollup", "partner_opportunities",
     "campaign_rollup", "trajectories", "diagnosis", "metric_panel", "clean_amounts", "unicode_text_compat", "upsert",
-    "unseen_rows", "crm_report_all_blocks", "last_executions",
+    "unseen_rows", "benchmark_file_rows", "last_executions",
 )
 
 

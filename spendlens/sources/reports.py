@@ -54,17 +54,15 @@ def flatten_all_blocks(reports: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     Short rows leave their last columns NULL; cells beyond the known columns are dropped.
     """
-    blocks = reports.select(*keep, "report", F.explode(F.map_entries("report.factMap")).alias("b"))
-    rows = blocks.select(*keep, "report", F.col("b.key").alias("block"), F.posexplode("b.value.rows").alias("row_no", "r"))
     info = F.col("report.reportExtendedMetadata.detailColumnInfo")
-    cells = F.col("r.dataCells")
-    entries = F.transform(
+    headers = F.transform(
         "report.reportMetadata.detailColumns",
-        lambda name, i: F.struct(
-            F.coalesce(F.nullif(F.try_element_at(info, name)["label"], F.lit("")), name).alias("key"), _plain(F.get(cells, i)).alias("value")
-        ),
+        lambda name: F.coalesce(F.nullif(F.try_element_at(info, name)["label"], F.lit("")), name),
     )
-    return rows.select(*keep, "block", "row_no", F.map_from_entries(entries).alias("cells"))
+    blocks = reports.select(*keep, headers.alias("headers"), F.explode("report.factMap").alias("block", "b"))
+    rows = blocks.select(*keep, "headers", "block", F.posexplode("b.rows").alias("row_no", "r"))
+    cells = F.transform("headers", lambda name, i: _plain(F.get(F.col("r.dataCells"), i)))
+    return rows.select(*keep, "block", "row_no", F.map_from_arrays("headers", cells).alias("cells"))
 
 
 def flatten_first_block(reports: DataFrame, keep: Sequence[str]) -> DataFrame:

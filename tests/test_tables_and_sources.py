@@ -211,9 +211,16 @@ def test_keyword_fallback_with_wildcards(spark):
 
 
 def test_bounded_dimension(spark):
-    big = spark.range(50)
-    assert "broadcast" in bounded_dimension(spark.range(5), 10)._jdf.queryExecution().logical().toString().lower()
-    assert bounded_dimension(big, 10) is big
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    small, big = spark.range(5), spark.range(50)
+    assert bounded_dimension(small) is small
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert hinted(bounded_dimension(small, 10))
+        assert bounded_dimension(big, 10) is big
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_playbook_gap(spark):
