@@ -79,8 +79,8 @@ def _(spark, sf):
 
 
 @query("book_summary_without_risk", f"""{HEUR} SELECT count(*) AS total_accounts, count(*) FILTER (htier = 'P1 - CRITICAL') AS p1_critical,
-count(*) FILTER (htier = 'P2 - HIGH') AS p2_high, round(sum(campaign_budget) FILTER (htier IN ('P1 - CRITICAL', 'P2 - HIGH')), 2) AS budget_at_risk,
-round(sum(campaign_budget), 2) AS total_budget FROM heur WHERE partner_name = 'NATION_3' AND am = 'AM 2'""")
+count(*) FILTER (htier = 'P2 - HIGH') AS p2_high, round(coalesce(sum(campaign_budget) FILTER (htier IN ('P1 - CRITICAL', 'P2 - HIGH')), 0), 2) AS budget_at_risk,
+round(coalesce(sum(campaign_budget), 0), 2) AS total_budget FROM heur WHERE partner_name = 'NATION_3' AND am = 'AM 2'""")
 def _(spark, sf):
     book = heuristic_rows(spark, sf).withColumn("revenue_at_risk", F.lit(None).cast("double"))
     return rounded(ops.book_summary(ops.filter_book(book, partner_name="NATION_3", am="AM 2", gm=None)), 2)

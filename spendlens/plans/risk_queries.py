@@ -128,15 +128,15 @@ def _(spark, sf):
         "campaign_id", "expected_leads_monthly", "expected_leads_to_date", "expected_leads_to_date_spend"), 9)
 
 
-@query("plan_and_flags", f"""{TO_CHURN} SELECT campaign_id, round(month_plan, 9) AS expected_leads_monthly,
-round(plan_td, 9) AS expected_leads_to_date, round(lead_ratio, 9) AS lead_ratio, round(spend_progress, 9) AS spend_progress,
-round(cpl_ratio, 9) AS cpl_ratio, viable AS sem_viable, tenure, zero_month AS zero_lead_last_mo,
+@query("plan_and_flags", f"""{TO_CHURN} SELECT campaign_id, month_plan AS expected_leads_monthly,
+plan_td AS expected_leads_to_date, lead_ratio AS lead_ratio, spend_progress AS spend_progress,
+cpl_ratio AS cpl_ratio, viable AS sem_viable, tenure, zero_month AS zero_lead_last_mo,
 zero_emerging AS zero_lead_emerging, zero_idle AS zero_lead_idle, is_safe FROM churn""")
 def _(spark, sf):
-    return rounded(scored_rows(spark, sf).select(
+    return scored_rows(spark, sf).select(
         "campaign_id", "expected_leads_monthly", "expected_leads_to_date", F.col("_lead_ratio").alias("lead_ratio"),
         "spend_progress", "cpl_ratio", F.col("_sem_viable").alias("sem_viable"), F.col("_tenure").alias("tenure"),
-        "zero_lead_last_mo", "zero_lead_emerging", "zero_lead_idle", "is_safe"), 9)
+        "zero_lead_last_mo", "zero_lead_emerging", "zero_lead_idle", "is_safe")
 
 
 @query("churn_probability", f"""{TO_CHURN} SELECT campaign_id, round(p_raw, 9) AS churn_prob_90d_unclamped, round(p, 9) AS churn_prob_90d,
