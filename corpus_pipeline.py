@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spendlens.llm.decontamination import decontaminate
 from spendlens.llm.jaccard_join import jaccard_groups
 from spendlens.llm.language_id import predict, train
+from spendlens.llm.packing import packed_sequences
+from spendlens.llm.secret_scan import redact
 from spendlens.llm.storage import saved, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +37,20 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(_documents(docs), items).where(~F.col("contaminated")).select(*COLUMNS)
 
 
-STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontamination)]
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; in their texts a mark stands for every secret."""
+    return redact(_documents(docs)).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences of 1024 tokens."""
+    return packed_sequences(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets),
+    ("packing", packing),
+]
 
 ORACLE_SQL = None
 

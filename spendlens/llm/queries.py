@@ -11,6 +11,8 @@ from .decontamination import decontaminate
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_groups
 from .language_id import held_out, predict, train
+from .packing import packed_sequences
+from .secret_scan import scan_secrets
 from .storage import new_path
 from .substring_dedup import duplicate_spans
 from .token_counts import length_histogram
@@ -53,6 +55,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_checksums(read_token_file(spark, path))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    digest = F.sha2("value", 256).alias("value_sha256")
+    return found.select("doc_id", "word", F.length("value").alias("n_chars"), digest, F.round("score", 6).alias("score"), "is_secret")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -62,6 +70,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_sequences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents").select("text"))
 
@@ -70,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_token_output,
-        op7_url_filter, op8_jaccard_join, op10_token_counts,
+        op6_secret_scan, op7_url_filter, op8_jaccard_join, op9_packing, op10_token_counts,
     )
 }
 
