@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import saved, small
+from .storage import saved, small, unused
 
 #: Characters between words (A-Z are lower-cased before), and the words of a window.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -106,12 +106,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, doc_id:
     """
     key = F.xxhash64(F.col(doc_id), F.col(text).cast("string"))  # a null id is a value of its own
     added = ("n_words", "n_hit", "items", "contaminated")
-    keyed = docs.drop(*added).select("*", key.alias("_key"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
-    spans = contaminated_spans(keyed.select(F.col("_key").alias("key"), F.col(text).alias("text")), items, size, item_id, item_text)
-    spans = saved(spans.select(F.col("key").alias("_key"), "n_hit", "items"), "contaminated")
-    rows = keyed.join(F.broadcast(spans) if spans.count() <= BROADCAST_RESULTS else spans, "_key", "left")
+    own = docs.drop(*added)
+    name = unused(own, "_key")
+    keyed = own.select("*", key.alias(name), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    spans = contaminated_spans(keyed.select(F.col(name).alias("key"), F.col(text).alias("text")), items, size, item_id, item_text)
+    spans = saved(spans.select(F.col("key").alias(name), "n_hit", "items"), "contaminated")
+    rows = keyed.join(F.broadcast(spans) if spans.count() <= BROADCAST_RESULTS else spans, name, "left")
     return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in added],
+        *[F.col(f"`{c}`") for c in own.columns],
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved, small
+from .storage import saved, small, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A candidate is a run of these characters; shorter ones are no secrets.
@@ -145,13 +145,15 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by `mark`; all columns and rows stay, and n_chars, if there, is counted anew."""
-    found = scan_secrets(docs).where("is_secret").groupBy("key").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
-    found = saved(found.withColumnRenamed("key", "_key"), "secrets")
-    key = F.xxhash64("doc_id", F.col("text").cast("string"))
-    hit = docs.withColumn("_key", key).join(small(found.select("_key")), "_key", "left_semi").join(found, "_key")
-    clean = docs.withColumn("_key", key).join(small(found.select("_key")), "_key", "left_anti")
-    text = F.aggregate("_values", F.col("text").cast("string"), lambda acc, x: F.replace(acc, x, F.lit(mark)))
-    hit = hit.withColumn("text", text)
+    key, values = unused(docs, "_key"), unused(docs, "_values")
+    found = scan_secrets(docs).where("is_secret").groupBy(F.col("key").alias(key))
+    longest_first = F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a))
+    found = saved(found.agg(longest_first.alias(values)), "secrets")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string")))
+    ids = small(found.select(key))
+    hit = keyed.join(ids, key, "left_semi").join(found, key)
+    hit = hit.withColumn("text", F.aggregate(values, F.col("text").cast("string"), lambda acc, x: F.replace(acc, x, F.lit(mark))))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.char_length("text").cast("long"))
-    return clean.select(*docs.columns).unionByName(hit.select(*docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(ids, key, "left_anti").select(*own).unionByName(hit.select(*own))

@@ -48,3 +48,11 @@ def ready(spark: SparkSession) -> int:
 def small(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if they are few; `ids` must be a saved table, so that counting reads only file footers."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or with signs appended one that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
