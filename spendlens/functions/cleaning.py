@@ -22,9 +22,11 @@ NUMERIC_NAME_PARTS = (
 
 # Date spellings tried in order; the first that parses wins.
 DATE_PATTERNS = (
-    "yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy H:mm", "d MMM yyyy", "MMM d, yyyy",
+    "yyyy-MM-dd", "M/d/yyyy", "yyyy/MM/dd", "M-d-yyyy", "M/d/yy", "d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMM d yyyy",
     "yyyyMMdd",
 )
+# A time of day after a date, with seconds, fractions, AM or PM, and a zone, as far as it is written.
+TIME_OF_DAY = r"(?i)[T ]\s*\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([AP]M)?\s*(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,8 @@ def clean_text(value, rules: CellRules = PIPELINE_CELLS) -> Column:
 
 
 def parse_date(text, patterns: tuple[str, ...] = DATE_PATTERNS) -> Column:
-    cell = as_col(text)
+    """The date in a cell; a time of day behind it is dropped, as written, whatever its zone."""
+    cell = F.regexp_replace(F.trim(as_col(text)), TIME_OF_DAY, "")
     return F.coalesce(*[F.try_to_date(cell, p) for p in patterns])
 
 
@@ -137,7 +140,7 @@ def percent_to_fraction(utilization, spent, budget, cycle_days) -> Column:
 
 
 def raw_text_flags(head) -> dict[str, Column]:
-    """Guards for a downloaded report, given its first bytes as text."""
+    """Guards for a downloaded report, given its first line as text (the words are fixed values of the portals)."""
     text = F.lower(as_col(head))
     trimmed = F.ltrim(text)
     return {
@@ -145,5 +148,5 @@ def raw_text_flags(head) -> dict[str, Column]:
         | text.contains("corporate portal")
         | text.contains('name="ux"'),
         "looks_like_json": trimmed.startswith("{") | trimmed.startswith("["),
-        "looks_like_html": trimmed.startswith("<!doctype") | text.contains("<html"),
+        "looks_like_html": trimmed.startswith("<!doctype") | trimmed.startswith("<html"),
     }

@@ -20,14 +20,6 @@ def with_missing(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.withColumns(gaps) if gaps else df
 
 
-def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
-    """Fill absent and NULL cells with a constant per column."""
-    out = {}
-    for name, value in defaults.items():
-        out[name] = F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value)
-    return df.withColumns(out)
-
-
 def keep(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[n for n in names if n in df.columns])
 

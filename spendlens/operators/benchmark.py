@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from .joins import bounded_dimension
 
 # Bounds an axis may end at, and the target assumed without any benchmark.
 MONEY_AXIS = (0.5, 1, 2, 3, 5, 7.5, 10, 12, 15, 20, 25, 30, 40, 50, 60, 75, 100, 150, 200, 250, 300, 400, 500, 750, 1000)
@@ -16,7 +15,7 @@ PERCENT_AXIS = (0.05, 0.08, 0.10, 0.12, 0.15, 0.18, 0.20, 0.25, 0.30, 0.40, 0.50
 DEFAULT_TARGET = {"CR": 0.05, "CPC": 3.0, "CPL": 50.0}
 
 
-def categories(benchmarks: DataFrame, limit: int | None = 2000) -> DataFrame:
+def categories(benchmarks: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct active categories in order."""
     rows = benchmarks
     if "active" in rows.columns:
@@ -66,7 +65,7 @@ def benchmark_record(row_columns: Sequence[str]) -> Column:
 
 def diagnose(requests: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Derived rates of each request, the medians of its category, goal status and first recommendation."""
-    medians = bounded_dimension(
+    medians = (
         benchmarks.select(
             "category",
             "subcategory",

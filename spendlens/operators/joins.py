@@ -7,23 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_DIMENSION_ROWS = 20_000
-
-
-def bounded_dimension(dim: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only when its size is known to allow it.
-
-    A dimension Spark itself estimates below ``autoBroadcastJoinThreshold`` is returned as it is; Spark will
-    broadcast it. Otherwise its rows are counted, stopping at ``max_rows + 1``. A larger dimension is returned
-    unchanged, so the join shuffles and adaptive execution splits its skewed partitions. Counting pays off where
-    the other side is large: it saves that side's shuffle, which adaptive execution only replaces once written.
-    """
-    threshold = dim.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    estimate = dim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) <= threshold:
-        return dim
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
-
 
 def salted_lookup(
     left: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio, zero_as_null
-from .joins import bounded_dimension, latest_only
+from .joins import latest_only
 
 # Tier and status names shown to users.
 TIERS = ("excellent", "good", "average", "below_average")
@@ -43,7 +43,7 @@ def campaign_performance(campaigns: DataFrame, benchmarks: DataFrame, latest_sna
         F.col("cpc_median").alias("benchmark_cpc_median"),
     )
     live = campaigns.where(F.col("running_cid_leads") > 0)
-    joined = live.join(bounded_dimension(bench), F.lower("product") == F.col("_key"), "left")
+    joined = live.join(bench, F.lower("product") == F.col("_key"), "left")
     cpl = F.col("running_cid_cpl")
     return joined.select(
         "campaign_id",

@@ -113,11 +113,6 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").json(path, timestampFormat="yyyy-MM-dd'T'HH:mm:ss")
 
 
-def create_table(df: DataFrame, name: str) -> None:
-    """Drop and recreate a catalog table from a frame's own schema."""
-    df.write.mode("overwrite").saveAsTable(name)
-
-
 def snapshot_entry(table: DataFrame, file_name: str, snapshot_date, file_size: int) -> DataFrame:
     """Registry row of a finished load."""
     return table.agg(

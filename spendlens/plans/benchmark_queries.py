@@ -38,10 +38,9 @@ def diagnosed(spark, sf):
     return ops.diagnose(tb.diagnosis_requests(spark, sf), latest(spark, sf))
 
 
-@query("benchmark_categories", f"""{tb.with_tables("catbench")} SELECT DISTINCT category || '|' || subcategory AS key, category, subcategory FROM catbench
-ORDER BY category, subcategory LIMIT 100""")
+@query("benchmark_categories", f"""{tb.with_tables("catbench")} SELECT DISTINCT category || '|' || subcategory AS key, category, subcategory FROM catbench""")
 def _(spark, sf):
-    return ops.categories(tb.category_benchmarks(spark, sf), 100)
+    return ops.categories(tb.category_benchmarks(spark, sf))
 
 
 @query("latest_benchmarks", f"""{tb.with_tables("catbench")} SELECT * FROM catbench WHERE snapshot_id = (SELECT max(snapshot_id) FROM catbench)""")

@@ -12,7 +12,7 @@ from ..functions.columns import wall_time
 from ..functions.headers import clean_headers
 from ..operators import tables
 from ..sources.configs import Source
-from ..sources.files import FILE_DATE, read_reports
+from ..sources.files import FILE_DATE, PLACE, classified, read_reports, refused_files
 
 
 def clean_table(df: DataFrame, text_mode: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def clean_table(df: DataFrame, text_mode: str | None = None) -> DataFrame:
     ``text_mode`` also repairs the text of exports with mixed encodings (see ``unicode_text``). Text columns
     whose name looks numeric become NULL where they hold no number.
     """
-    data = [c for c in df.columns if c != "source_file"]
+    data = [c for c in df.columns if c not in PLACE]
     out = {}
     for name in data:
         cell = F.col(name).cast("string")
@@ -45,12 +45,31 @@ def add_metadata(df: DataFrame, loaded_at: dt.datetime, as_of: dt.date) -> DataF
 
 
 def ingest(
-    spark: SparkSession, path: str, source: Source, loaded_at: dt.datetime, as_of: dt.date, latest: bool = False
+    spark: SparkSession, path: str, source: Source, loaded_at: dt.datetime, as_of: dt.date, latest: bool = False,
+    text_mode: str | None = "compat",
 ) -> DataFrame:
-    """Files of a source as a cleaned table with metadata."""
+    """Files of a source as a cleaned table with metadata. ``text_mode`` says how the text of sources with mixed encodings
+    is repaired: ``compat`` also joins words, ``collapse`` keeps them apart, None leaves the text."""
     raw = read_reports(spark, path, source, latest)
-    mode = "compat" if source.mixed_encoding else None
-    return add_metadata(clean_table(raw, mode), loaded_at, as_of)
+    return add_metadata(clean_table(raw, text_mode if source.mixed_encoding else None), loaded_at, as_of)
+
+
+def rejected_reports(spark: SparkSession, path: str, source: Source) -> DataFrame:
+    """(file_name, length, reject_reason) of the files that ``ingest`` leaves out."""
+    return refused_files(classified(spark, path, source.pattern), source).select("file_name", "length", "reject_reason")
+
+
+def unparsed_dates(raw: DataFrame) -> DataFrame:
+    """(column_name, n_cells, n_unparsed) for each column that is read as a date: cells with a text, and those that
+    become NULL because no spelling fits."""
+    names = [c for c in raw.columns if c not in PLACE and cl.is_date_name(c)]
+    if not names:
+        return raw.sparkSession.createDataFrame([], "column_name string, n_cells long, n_unparsed long")
+    cell = cl.null_tokens(F.trim(F.col("cell")))
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("cell")) for c in names]))
+    cells = raw.select(pairs.alias("p")).select("p.*")
+    lost = cell.isNotNull() & cl.parse_date(cell).isNull()
+    return cells.groupBy("column_name").agg(F.count(cell).alias("n_cells"), F.count_if(lost).alias("n_unparsed"))
 
 
 def split_rejects(df: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
@@ -65,11 +84,10 @@ def split_rejects(df: DataFrame, source: Source) -> tuple[DataFrame, DataFrame]:
 
 
 def load(current: DataFrame | None, fresh: DataFrame, source: Source) -> DataFrame:
-    """Curated table after a load."""
-    if current is None:
-        empty = fresh.limit(0)
-        return tables.upsert(empty, fresh, source.keys, ["extracted_at", "source_file"])
-    return tables.upsert(current, fresh, source.keys, ["extracted_at", "source_file"])
+    """Curated table after a load. Of several rows of one key the last one wins: by load time, then file, then place in it."""
+    order = [c for c in ("extracted_at", *PLACE) if c in fresh.columns]
+    base = fresh.limit(0) if current is None else current
+    return tables.upsert(base, fresh, source.keys, order).drop("source_row")
 
 
 # Header of the daily performance report and the campaign column each one fills (fixed values of that report).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 # Recommended runtime settings. The scoring expressions compile to long methods; beyond 8000 bytes of bytecode the
@@ -37,17 +37,3 @@ def local_session(app: str = "spendlens", cores: str | None = None) -> SparkSess
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by ``spark.checkpoint.dir``; a no-op when none is named.
-
-    Reliable checkpoints survive lost executors, which is why nothing here uses local checkpoints.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import raw_text_flags
 from ..functions.headers import as_written, clean_headers
 from .configs import Source
 
+# Columns that say where a row came from.
+PLACE = ("source_file", "source_row")
 FILE_DATE = r"(\d{4}-\d{2}-\d{2})"
 # Bytes that have no character in Windows-1252; a file holding one is read as Latin-1.
 NOT_WINDOWS = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
@@ -24,34 +26,32 @@ READERS = {
 }
 
 
-def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-
+def classified(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """One row per non-empty file: path, name, modification time, length, encoding class, first line, content guards.
 
-def encoding_class(content: Column) -> Column:
-    mark = F.hex(F.substring(content, 1, 3))
-    latin = F.decode(content, "ISO-8859-1")
+    One splittable scan of the lines as raw bytes, reduced to a row per file before the shuffle; files may be of any size.
+    A guard looks at the first line alone, so a cell that merely speaks of a login page says nothing.
+    """
+    lines = spark.read.text(path, pathGlobFilter=pattern).select("value", "_metadata")
+    mark = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     unmapped = F.lit(False)
     for code in NOT_WINDOWS:
         unmapped = unmapped | latin.contains(F.char(F.lit(code)))
-    return (
-        F.when(mark.startswith("FFFE") | mark.startswith("FEFF"), "utf-16")
-        .when(F.is_valid_utf8(content.cast("string")), "utf-8")
-        .when(unmapped, "latin1")
-        .otherwise("cp1252")
+    start = F.col("_metadata.file_block_start") == 0
+    files = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.first("_metadata.file_name").alias("file_name"),
+        F.first("_metadata.file_modification_time").alias("modificationTime"),
+        F.first("_metadata.file_size").alias("length"),
+        F.first(F.when(start, F.col("value").cast("binary")), ignorenulls=True).alias("header"),
+        F.first(F.when(start, mark), ignorenulls=True).isin("FFFE", "FEFF").alias("marked"),
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(unmapped).alias("unmapped"),
     )
-
-
-def classified(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row per file: path, name, modification time, encoding class and content guards."""
-    head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
-    flags = raw_text_flags(head)
-    return raw_files(spark, path, pattern).select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "modificationTime",
-        "length",
-        encoding_class(F.col("content")).alias("encoding_class"),
+    kind = F.when(F.col("marked"), "utf-16").when(F.col("utf8"), "utf-8").when(F.col("unmapped"), "latin1").otherwise("cp1252")
+    flags = raw_text_flags(F.decode("header", "ISO-8859-1"))
+    return files.select(
+        "path", "file_name", "modificationTime", "length", kind.alias("encoding_class"), "header",
         *[c.alias(n) for n, c in flags.items()],
     )
 
@@ -71,47 +71,68 @@ def latest_file(files: DataFrame, by: str = "mtime") -> DataFrame:
     return files.agg(F.max_by(F.struct(*files.columns), order).alias("f")).where("f is not null").select("f.*")
 
 
-def distinct_files(files: DataFrame) -> DataFrame:
-    """One row per file name."""
-    return files.dropDuplicates(["file_name"])
-
-
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return raw_files(spark, path, pattern).select("path", F.sha2("content", 256).alias("sha256"), "length")
+    """SHA-256 of each file. A file is one value here, so Spark's binary reader refuses files beyond 2 GB."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
 def _tagged(df: DataFrame) -> DataFrame:
-    return df.withColumn("source_file", F.col("_metadata.file_name"))
+    """With the file's name, and where in it a row stands: the split's first byte, then the row's number in the task."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("source_row", place)
 
 
-def read_table_files(spark: SparkSession, paths: Iterable[str], kind: str = "utf-8", quoting: bool = True) -> DataFrame:
-    """Delimited text with a header; every cell is text."""
-    options = dict(READERS[kind]) | ({} if quoting else {"quote": ""})
+def csv_options(kind: str = "utf-8", quoting: bool = True, multi_line: bool = False) -> dict:
+    """Reader options: a doubled quote is a quote. Without quoting, quotes are ordinary characters."""
+    options = dict(READERS[kind]) | {"escape": '"'}
+    if multi_line:
+        options["multiLine"] = True
+    return options | ({} if quoting else {"quote": ""})
+
+
+def read_table_files(
+    spark: SparkSession, paths: Iterable[str], kind: str = "utf-8", quoting: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """Delimited text files with one header line, the same in all of them; every cell is text.
+
+    multi_line allows line breaks in quoted cells; such a file cannot be split and is one task.
+    """
     # Old reports spell empty cells in many ways, so emptiness is decided by the cleaning step.
-    raw = spark.read.options(header=True, inferSchema=False, **options).csv(list(paths))
+    raw = spark.read.options(header=True, inferSchema=False, **csv_options(kind, quoting, multi_line)).csv(list(paths))
     return _tagged(raw)
 
 
-def read_reports(spark: SparkSession, path: str, source: Source, latest: bool = False, quoting: bool = True) -> DataFrame:
-    """All files of a source (or its latest) as one text table with normalized headers and ``source_file``.
+def refused_files(files: DataFrame, source: Source) -> DataFrame:
+    """Files that are not read, with the reason: those that begin as an HTML page, and for a guarded source every reject."""
+    rejected = rejected_files(files)
+    return rejected if source.guarded else rejected.where("looks_like_html")
+
+
+def usable_files(files: DataFrame, source: Source) -> DataFrame:
+    return files.join(refused_files(files, source).select("path"), "path", "left_anti")
+
+
+def read_reports(spark: SparkSession, path: str, source: Source, latest: bool = False) -> DataFrame:
+    """All files of a source (or its latest) as one text table with normalized headers, ``source_file`` and ``source_row``.
 
-    The file list is metadata and may pass the driver; contents never do.
+    Columns are matched by name: files of one encoding and header line are read together, and the groups united. Names and
+    first lines pass the driver, about 1 kB per file; contents never do.
     """
-    files = classified(spark, path, source.pattern)
-    files = files.where(~F.col("looks_like_login") & ~F.col("looks_like_html") & ~F.col("looks_like_json"))
+    files = usable_files(classified(spark, path, source.pattern), source)
     if latest:
         files = latest_file(files)
-    groups: dict[str, list[str]] = {}
-    for row in files.select("path", "encoding_class").toLocalIterator():
+    groups: dict[tuple[str, bytes], list[str]] = {}
+    for row in files.select("path", "encoding_class", "header").toLocalIterator():
         kind = row["encoding_class"] if source.mixed_encoding else "utf-8"
-        groups.setdefault(kind, []).append(row["path"])
+        groups.setdefault((kind, bytes(row["header"] or b"")), []).append(row["path"])
     if not groups:
         raise FileNotFoundError(f"no usable file for {source.name} under {path}")
     out = None
-    for kind, paths in sorted(groups.items()):
-        part = read_table_files(spark, paths, kind, quoting)
-        named = clean_headers(as_written([c for c in part.columns if c != "source_file"]), source.renames)
-        part = part.toDF(*named, "source_file")
+    for (kind, _), paths in sorted(groups.items()):
+        part = read_table_files(spark, paths, kind, source.quoting, source.multi_line)
+        named = clean_headers(as_written([c for c in part.columns if c not in PLACE]), source.renames)
+        part = part.toDF(*named, *PLACE)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -49,16 +49,29 @@ def _plain(cell: Column) -> Column:
     return F.when(value.startswith("{"), F.coalesce(F.get_json_object(value, "$.amount"), value)).otherwise(value)
 
 
+def numbered(labels: Column) -> Column:
+    """Labels with ``_2``, ``_3`` and so on behind repeated ones; a number that is itself a label is repeated in turn."""
+
+    def unique(label: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(labels, 1, i), lambda x: x == label))
+        plain = F.concat(label, F.lit("_"), before + 1)
+        return F.when(before == 0, label).when(F.array_contains(labels, plain), F.concat(plain, F.lit("_"), i + 1)).otherwise(plain)
+
+    return F.transform(labels, unique)
+
+
 def flatten_all_blocks(reports: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Every detail row of every block with a ``cells`` map from column label to value.
 
-    Short rows leave their last columns NULL; cells beyond the known columns are dropped.
+    Short rows leave their last columns NULL; cells beyond the known columns are dropped. Where columns share a label, the
+    second and later ones get a number: ``Amount``, ``Amount_2``.
     """
     info = F.col("report.reportExtendedMetadata.detailColumnInfo")
-    headers = F.transform(
+    labels = F.transform(
         "report.reportMetadata.detailColumns",
         lambda name: F.coalesce(F.nullif(F.try_element_at(info, name)["label"], F.lit("")), name),
     )
+    headers = numbered(labels)
     blocks = reports.select(*keep, headers.alias("headers"), F.explode("report.factMap").alias("block", "b"))
     rows = blocks.select(*keep, "headers", "block", F.posexplode("b.rows").alias("row_no", "r"))
     cells = F.transform("headers", lambda name, i: _plain(F.get(F.col("r.dataCells"), i)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlens.operators import book, reports as report_ops, tables, trajectory
-from spendlens.operators.joins import bounded_dimension, newest_per_key, top_per_key
+from spendlens.operators.joins import newest_per_key, top_per_key
 from spendlens.plans import ingest, scoring
 from spendlens.sources import configs, files, reports
 from spendlens.streaming import drops
@@ -34,7 +34,7 @@ def test_encoding_classes(spark, folder):
 
 
 def test_guards_and_latest(spark, folder):
-    put(folder, "r_2025-09-01.csv", b"<html><body class='maincontent-logon'>")
+    put(folder, "r_2025-09-01.csv", b"<html><body class='maincontent-logon'>\nx")
     put(folder, "r_2025-09-03.csv", b'  {"error": 1}')
     put(folder, "r_2025-09-02.csv", b"x,y\n1,2\n")
     known = files.classified(spark, folder)
@@ -210,19 +210,6 @@ def test_keyword_fallback_with_wildcards(spark):
     assert got == {"1": [1], "2": [3, 2, 1], "3": [2]}
 
 
-def test_bounded_dimension(spark):
-    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-    small, big = spark.range(5), spark.range(50)
-    assert bounded_dimension(small) is small
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert hinted(bounded_dimension(small, 10))
-        assert bounded_dimension(big, 10) is big
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-
-
 def test_playbook_gap(spark):
     df = spark.createDataFrame([(["Search"],), (["Search", "SEO", "DASH"],), (None,)], "p array<string>")
     assert [r[0] for r in book.with_missing_product(df, "p").select("missing_product").collect()] == ["SEO", None, "Search"]
@@ -269,3 +256,110 @@ def test_reports_by_name(spark):
     assert r.date_range("executive_summary", AS_OF)[0] == AS_OF - dt.timedelta(days=365)
     with pytest.raises(KeyError):
         r.build_report("nope", None, AS_OF)
+
+
+def rows_of(spark, folder, name, **kwargs):
+    return [r.asDict() for r in files.read_reports(spark, folder, configs.SOURCES[name], **kwargs).drop("source_file", "source_row").collect()]
+
+
+def test_files_with_other_header_orders_are_united_by_name(spark, folder):
+    put(folder, "sf_partner_calls_1.csv", b"Call ID,Partner Name,Call Date\n1,ACME,2025-01-01\n")
+    put(folder, "sf_partner_calls_2.csv", b"Partner Name,Call ID,Call Date,Extra\nBETA,2,2025-01-02,x\n")
+    got = sorted(rows_of(spark, folder, "sf_partner_calls"), key=lambda r: r["call_id"])
+    assert got == [
+        {"call_id": "1", "partner_name": "ACME", "call_date": "2025-01-01", "extra": None},
+        {"call_id": "2", "partner_name": "BETA", "call_date": "2025-01-02", "extra": "x"},
+    ]
+
+
+def test_quoted_cells(spark, folder):
+    put(folder, "sf_partner_calls_1.csv", b'Call ID,Partner Name,Notes\n1,"said ""hi"", bye","line one\nline two"\n2,B,corporate portal outage\n')
+    got = sorted(rows_of(spark, folder, "sf_partner_calls"), key=lambda r: r["call_id"])
+    assert got == [
+        {"call_id": "1", "partner_name": 'said "hi", bye', "notes": "line one\nline two"},
+        {"call_id": "2", "partner_name": "B", "notes": "corporate portal outage"},
+    ]
+
+
+def test_stray_quotes_where_quoting_is_off(spark, folder):
+    text = "Business ID\tAlert Type\tCreated Date\n1\t\"a\tx\n2\tb\ty\n3\tc\"\tz\n4\td\tw\n"
+    put(folder, "dfp_rij_1.csv", text.encode("utf-16"))
+    assert sorted(r["business_id"] for r in rows_of(spark, folder, "dfp_rij")) == ["1", "2", "3", "4"]
+
+
+def test_guards_only_where_a_source_asks(spark, folder):
+    put(folder, "spend_revenue_1.csv", b"MAID,Campaign ID\n1,[x]\n2,corporate portal\n")
+    put(folder, "spend_revenue_2.csv", b"<!DOCTYPE html><html>\n<body>corporate portal</body>\n")
+    source = configs.SOURCES["spend_revenue_performance"]
+    assert len(rows_of(spark, folder, "spend_revenue_performance")) == 2
+    assert [r["file_name"] for r in ingest.rejected_reports(spark, folder, source).collect()] == ["spend_revenue_2.csv"]
+    assert ingest.rejected_reports(spark, folder, configs.SOURCES["sf_partner_calls"]).count() == 0
+
+
+def test_usual_date_spellings(spark):
+    from spendlens.functions import cleaning
+
+    cells = [
+        "2025-09-18", "2025-09-18T11:18:34", "2025-09-18T11:18:34.000+0000", "2025-09-18 11:18:34.123456", "9/18/2025 11:18 AM", "18-Sep-2025",
+        "9-18-2025", "Sep 18 2025", "9/18/25", "2025-09-18T11:18:34Z", "2025/09/18", "18 Sep 2025", "Sep 18, 2025", "20250918", " 9/18/2025 ",
+    ]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r[0] for r in df.select(cleaning.parse_date("c")).collect()} == {dt.date(2025, 9, 18)}
+    raw = spark.createDataFrame([("soon", "x"), ("2025-01-01", "y"), ("NULL", None), (None, None)], "start_date string, other string")
+    assert [tuple(r) for r in ingest.unparsed_dates(raw).collect()] == [("start_date", 2, 1)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_last_row_of_a_file_wins(spark, folder, partitions):
+    lines = "".join(f"{i % 5},P{i % 5},2025-01-0{1 + i % 5},note {i}\n" for i in range(40))
+    put(folder, "sf_partner_calls_2025-09-19.csv", ("Call ID,Partner Name,Call Date,Notes\n" + lines).encode())
+    source = configs.SOURCES["sf_partner_calls"]
+    fresh = ingest.ingest(spark, folder, source, LOADED, AS_OF).repartition(partitions)
+    table = ingest.load(None, fresh, source)
+    assert "source_row" not in table.columns
+    assert sorted(r["notes"] for r in table.collect()) == [f"note {i}" for i in range(35, 40)]
+    assert ingest.load(table, fresh, source).count() == 5
+
+
+def test_text_mode_is_a_choice(spark, folder):
+    put(folder, "ultimate_dms_2025-09-19.csv", b"Campaign ID,Advertiser Name\n1,Joe Pizza Shop\n")
+    source = configs.SOURCES["ultimate_dms"]
+    names = [ingest.ingest(spark, folder, source, LOADED, AS_OF, text_mode=m).first()["advertiser_name"] for m in ("compat", "collapse", None)]
+    assert names == ["JoePizzaShop", "Joe Pizza Shop", "Joe Pizza Shop"]
+
+
+def test_repeated_labels_of_a_crm_report(spark):
+    df = spark.createDataFrame([(["Amount", "Amount", "Name", "Amount", "Amount_2"],), ([],)], "h array<string>")
+    got = [r[0] for r in df.select(reports.numbered(F.col("h"))).collect()]
+    assert got[1] == [] and len(set(got[0])) == 5 and got[0][0] == "Amount" and got[0][2] == "Name" and got[0][4] == "Amount_2"
+
+
+def test_stream_keeps_rows_with_a_new_checkpoint_and_leaves_other_buckets_alone(spark, folder):
+    root = os.path.join(folder, "table")
+
+    def run(number, rows):
+        drop = os.path.join(folder, f"drop{number}")
+        spark.createDataFrame(rows, "k int, v string, o int").write.parquet(drop)
+        stream = drops.drop_stream(spark, drop, "k int, v string, o int")
+        drops.apply_drops(stream, root, "kept_now", ["k"], ["o"], os.path.join(folder, f"check{number}"), buckets=8).awaitTermination(120)
+        return sorted((r["k"], r["v"]) for r in spark.table("kept_now").collect())
+
+    def written():
+        return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+    first = [(k, "a") for k in range(20)]
+    assert run(1, [(k, "a", 1) for k in range(20)]) == first
+    before = written()
+    assert run(2, [(3, "b", 2)]) == sorted([*((k, v) for k, v in first if k != 3), (3, "b")])
+    after = written()
+    assert before.items() <= after.items()
+    assert len({os.path.dirname(p).split("/_bucket=")[1].split("/")[0] for p in after.keys() - before.keys()}) == 1
+    old = drops.forget_versions(spark, root, 1).collect()
+    assert len(old) == 1 and old[0]["_version"] == 1
+
+
+def test_catalog_helpers(spark, folder):
+    put(folder, "items.json", b'[{"a": 1}, {"a": 2}]')
+    assert sorted(r["a"] for r in files.read_json_items(spark, folder).collect()) == [1, 2]
+    spark.range(3).write.parquet(os.path.join(folder, "p"))
+    assert files.read_parquet_files(spark, os.path.join(folder, "p")).select("source_file").distinct().count() >= 1
