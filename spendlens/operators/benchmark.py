@@ -333,3 +333,15 @@ def scenarios(diagnosed: DataFrame, grid: Sequence[tuple[str, float, float, floa
             "budget_constrained": (b >= 500) & (b < 1000),
         }
     )
+
+
+# The columns of a stored diagnosis.
+HISTORY = (
+    "request_id", "category_key", "budget", "clicks", "leads", "goal_cpl", "cpl", "cpc", "cr", "goal_status", "primary_recommendation",
+)
+
+
+def diagnosis_history(diagnosed: DataFrame, run_at: Column) -> DataFrame:
+    """One row to append per diagnosed request: what was asked, what was found, and when. Unknown columns are NULL."""
+    have = set(diagnosed.columns)
+    return diagnosed.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in HISTORY], run_at.alias("created_at"))

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .joins import salted_lookup
 
 HOT_SALTS = 32
@@ -37,8 +38,12 @@ def average_percent_rank(
     on. Distinct values are cut into ranges at approximate quantiles; the running count inside a range plus
     the total of the ranges before it is the exact rank. The cuts only balance the work: being constants of
     the plan, they put equal values into the same range whenever a task is recomputed.
+
+    df is computed once and written to the shared folder; cuts, counts and the result all read that table, so a value has
+    the same bits everywhere. This write and the quantiles over its one column are the only jobs that run at once.
     """
     spark = df.sparkSession
+    df = written(df, "to-rank")
     parts = parts or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts, hot = _quantiles(df, value, parts)
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))

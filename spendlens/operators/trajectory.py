@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
+from ..shared import written
 from .joins import top_per_key
 
 MONTHS = 12
@@ -38,12 +39,14 @@ def _by_keyword(keys: DataFrame, history: DataFrame) -> DataFrame:
     """Months of a business whose campaign names contain a keyword, for each (partner_name, keyword).
 
     ``history`` is first cut to the twelve newest months per business and campaign name, which cannot lose a
-    month that belongs to the twelve of a keyword. Names and keywords meet on a shared three-letter piece
+    month that belongs to the twelve of a keyword, for businesses that need it, and written once for all steps. Names and keywords meet on a shared three-letter piece
     instead of every name with every keyword; the pattern test then decides. Keywords holding a wildcard
     have no fixed piece and are compared within their business.
     """
     order = [F.desc_nulls_first("report_month"), F.asc("campaign_id")]
-    by_name = top_per_key(history, ["business_name", "campaign_name"], order, MONTHS, "_pos").drop("_pos")
+    wanted = keys.select(F.col("partner_name").alias("business_name")).distinct()
+    by_name = top_per_key(history.join(wanted, "business_name", "left_semi"), ["business_name", "campaign_name"], order, MONTHS, "_pos")
+    by_name = written(by_name.drop("_pos"), "history-by-name")
     keys = keys.withColumn("_piece", F.lower(F.substring("keyword", 1, 3)))
     wild = F.col("_piece").rlike(r"[%_\\]")
     empty = F.col("keyword") == ""
@@ -86,6 +89,7 @@ def history_points(campaigns: DataFrame, history: DataFrame) -> DataFrame:
         {"keyword": first_keyword("campaign_name"), "_hid": F.col("campaign_id").try_cast("bigint")}
     ).join(own, "_hid", "left")
     usable = (F.coalesce("partner_name", F.lit("")) != "") & (F.coalesce("campaign_name", F.lit("")) != "")
+    rows = written(rows, "own-history")
     unmatched = rows.where(F.col("_own").isNull() & usable).select("partner_name", "keyword").distinct()
     borrowed = _by_keyword(unmatched, known).withColumnRenamed("points", "_borrowed")
     return (

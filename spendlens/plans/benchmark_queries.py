@@ -72,6 +72,12 @@ def _(spark, sf):
         "goal_status", "primary_recommendation")
 
 
+@query("diagnosis_history", f"""{DIAG} SELECT request_id, category_key, budget, clicks, leads, goal_cpl, cpl, cpc, cr, goal_status,
+CASE goal_status WHEN 'achieved' THEN 'scale' WHEN 'behind' THEN 'optimize' END AS primary_recommendation, TIMESTAMP '2025-09-20 06:00:00' AS created_at FROM diag""")
+def _(spark, sf):
+    return ops.diagnosis_history(diagnosed(spark, sf), F.lit("2025-09-20 06:00:00").cast("timestamp_ntz"))
+
+
 @query("metric_panel", f"""{DIAG} SELECT request_id, metric, v AS value, round(lo, 9) AS target_low, round(hi, 9) AS target_high, verdict, round(delta, 6) AS delta_pct, status FROM panel""")
 def _(spark, sf):
     return ops.metric_panel(diagnosed(spark, sf)).select(

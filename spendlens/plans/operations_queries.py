@@ -10,7 +10,7 @@ from ..functions import cleaning as cl
 from ..functions.columns import wall_time
 from ..operators import quality as q
 from ..operators import tables
-from ..sources import reports
+from ..sources import files, reports
 from . import ingest
 from . import testbed as tb
 from .registry import query, rounded
@@ -230,7 +230,8 @@ def _(spark, sf):
     return q.load_status(tb.campaigns(spark, sf), "campaigns")
 
 
-COVERED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts", "customer": None, "supplier": None, "part": None}
+COVERED = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"} | dict.fromkeys((
+    "customer", "supplier", "part", "region", "nation", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
 COVERAGE_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, {f'CAST(max({d}) AS DATE)' if d else 'NULL::DATE'} AS latest_date FROM {t}" for t, d in COVERED.items())
 
@@ -284,9 +285,33 @@ def _(spark, sf):
 @query("table_profile", """SELECT (SELECT count(*) FROM supplier) AS rows, column_name, data_type, non_null, min_value, max_value FROM (
 SELECT 's_suppkey' AS column_name, 'bigint' AS data_type, count(s_suppkey) AS non_null, CAST(min(s_suppkey) AS VARCHAR) AS min_value, CAST(max(s_suppkey) AS VARCHAR) AS max_value FROM supplier
 UNION ALL SELECT 's_name', 'string', count(s_name), min(s_name), max(s_name) FROM supplier
-UNION ALL SELECT 's_nationkey', 'int', count(s_nationkey), CAST(min(s_nationkey) AS VARCHAR), CAST(max(s_nationkey) AS VARCHAR) FROM supplier)""")
+UNION ALL SELECT 's_nationkey', 'int', count(s_nationkey), CAST(min(s_nationkey) AS VARCHAR), CAST(max(s_nationkey) AS VARCHAR) FROM supplier
+UNION ALL SELECT 's_acctbal', 'double', count(s_acctbal), CAST(min(s_acctbal) AS VARCHAR), CAST(max(s_acctbal) AS VARCHAR) FROM supplier)""")
 def _(spark, sf):
-    return q.table_profile(tb.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
+    return q.table_profile(tb.table(spark, sf, "supplier"))
+
+
+@query("quoted_csv_lines", """SELECT o_orderkey AS k, 'said "' || o_orderpriority || '", ok' AS note, o_orderstatus AS status,
+'x,' || o_custkey AS pair FROM orders""")
+def _(spark, sf):
+    line = F.expr("""concat(o_orderkey, ',"said ""', o_orderpriority, '"", ok",', o_orderstatus, ',"x,', o_custkey, '"')""")
+    cells = F.from_csv(line, "k bigint, note string, status string, pair string", {k: str(v) for k, v in files.csv_options().items()})
+    return tb.table(spark, sf, "orders").select(cells.alias("c")).select("c.*")
+
+
+DATE_SPELLINGS = (
+    "yyyy-MM-dd", "yyyy-MM-dd'T11:18:34'", "yyyy-MM-dd'T11:18:34.000+0000'", "yyyy-MM-dd' 11:18:34.123456'", "M/d/yyyy' 11:18 AM'", "d-MMM-yyyy",
+    "M-d-yyyy", "MMM d yyyy", "yyyy/MM/dd", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd", "M/d/yyyy",
+)
+
+
+@query("date_spellings", f"""SELECT o_orderkey AS k, CASE WHEN o_orderkey % {len(DATE_SPELLINGS) + 1} < {len(DATE_SPELLINGS)} THEN o_orderdate::DATE END AS day FROM orders""")
+def _(spark, sf):
+    which = F.col("o_orderkey") % (len(DATE_SPELLINGS) + 1)
+    text = F.lit("some day")
+    for i, pattern in enumerate(DATE_SPELLINGS):
+        text = F.when(which == i, F.date_format("o_orderdate", pattern)).otherwise(text)
+    return tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), cl.parse_date(text).alias("day"))
 
 
 # ---- documents -----------------------------------------------------------------------------------------------
@@ -313,6 +338,16 @@ def _(spark, sf):
                        F.col("STAGE").alias("stage"), F.col("OWNER").alias("owner"))
 
 
+@query("crm_repeated_labels", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey AS VARCHAR) AS amount, CAST(l_suppkey AS VARCHAR) AS amount_2,
+l_returnflag AS stage FROM lineitem""")
+def _(spark, sf):
+    text = F.expr("""'{"reportMetadata":{"detailColumns":["A","B","STAGE"]},"reportExtendedMetadata":{"detailColumnInfo":{"A":{"label":"Amount"},"B":{"label":"Amount"}}},"factMap":{"T!T":{"rows":[{"dataCells":[{"value":'
+|| cast(l_partkey as string) || '},{"value":' || cast(l_suppkey as string) || '},{"value":"' || l_returnflag || '"}]}]}}}'""")
+    rows = reports.parse_crm_reports(tb.table(spark, sf, "lineitem").select(*CRM_KEYS, text.alias("text")))
+    wide = reports.cells_to_columns(reports.flatten_all_blocks(rows, CRM_KEYS), ["Amount", "Amount_2", "STAGE"])
+    return wide.select(*CRM_KEYS, F.col("Amount").alias("amount"), F.col("Amount_2").alias("amount_2"), F.col("STAGE").alias("stage"))
+
+
 @query("crm_report_first_block", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 2 = 1 THEN 'T!T' ELSE '0!T' END AS block,
 CASE WHEN l_linenumber % 2 = 1 THEN 'N' || l_partkey ELSE 'G' END AS name, CASE WHEN l_linenumber % 2 = 1 THEN '$' || l_suppkey ELSE CAST(l_linenumber AS VARCHAR) END AS amount,
 CASE WHEN l_linenumber % 2 = 1 THEN l_returnflag ELSE '' END AS stage, CASE WHEN l_linenumber % 2 = 0 THEN 'more' END AS extra FROM lineitem""")

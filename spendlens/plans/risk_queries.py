@@ -210,6 +210,18 @@ def _(spark, sf):
         F.col("flare_breakdown.rar").alias("breakdown_rar"), F.col("flare_breakdown.churn").alias("breakdown_churn")))
 
 
+@query("scored_book_upsert", f"""{TO_TIER} SELECT campaign_id, priority_tier, TIMESTAMP '2025-09-20 06:00:00' AS scored_at FROM tier
+WHERE CAST(campaign_id AS BIGINT) % 2 = 0 UNION ALL SELECT campaign_id, 'STORED', TIMESTAMP '2025-09-01 06:00:00' FROM tier
+WHERE CAST(campaign_id AS BIGINT) % 2 = 1 AND CAST(campaign_id AS BIGINT) % 3 = 0""")
+def _(spark, sf):
+    """A stored book of every third campaign meets new scores of every other one."""
+    number = F.col("campaign_id").cast("bigint")
+    at = lambda day: F.lit(f"2025-09-{day} 06:00:00").cast("timestamp_ntz").alias("scored_at")
+    new = ranked_rows(spark, sf).where(number % 2 == 0).select("campaign_id", "priority_tier", at("20"))
+    stored = tb.campaigns(spark, sf).where(number % 3 == 0).select("campaign_id", F.lit("STORED").alias("priority_tier"), at("01"))
+    return scoring.upsert_book(stored, new, ["campaign_id"])
+
+
 @query("priority_tiers", f"{TO_TIER} SELECT campaign_id, priority_tier, is_safe FROM tier")
 def _(spark, sf):
     return ranked_rows(spark, sf).select("campaign_id", "priority_tier", "is_safe")

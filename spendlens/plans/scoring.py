@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import number
+from ..operators import tables
 from ..operators.risk import churn, goals, narrative, priority, waterfall
 from ..operators.risk.params import CURRENT, LEGACY, RiskParams
 
@@ -51,6 +52,12 @@ def score_legacy_ranked(campaigns: DataFrame, ids: Sequence[str] = ("campaign_id
     return ranked, rejected
 
 
+def upsert_book(book: DataFrame | None, scored: DataFrame, ids: Sequence[str], scored_at: str = "scored_at") -> DataFrame:
+    """The stored book with newly scored campaigns in it: rows of one key are replaced, of several new ones the last scored
+    stays, campaigns that were not scored now keep their row. Columns that only one side has are NULL on the other."""
+    return tables.upsert(scored.limit(0) if book is None else book, scored, list(ids), [scored_at])
+
+
 def score_neutral(campaigns: DataFrame) -> DataFrame:
     """Neutral scores for campaigns without model inputs."""
     return campaigns.withColumns({n: F.lit(v) for n, v in NEUTRAL.items()})
