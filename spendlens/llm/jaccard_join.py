@@ -52,16 +52,29 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Shingles of each hash group. There are about a quarter as many groups as shingles, a power of two, so that vectors
-    of different length can be compared: groups of the longer one are added up."""
+    """Bytes that describe a set: 16-bit counts of its shingles by hash group, then the parities of counts in 16 times as many
+    finer groups, a bit each. There are an eighth to a quarter as many groups as shingles, a power of two, so that sets of
+    different size can be compared: groups of the longer description are added up, and parities with them."""
     groups = 8
     while groups * 8 <= len(shingles):
         groups *= 2
-    return np.bincount((mix(shingles) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint32)
+    mixed = mix(shingles)
+    counts = np.bincount((mixed & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    fine = np.bincount(((mixed >> np.uint64(24)) & np.uint64(16 * groups - 1)).astype(np.int64), minlength=16 * groups) & 1
+    return np.concatenate((counts.astype("<u2").view(np.uint8), np.packbits(fine.astype(np.uint8), bitorder="little")))
 
 
-def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
-    return vectors.reshape(len(vectors), -1, groups).sum(1, dtype=np.uint32)
+def described(vectors: list[bytes], groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, parities) of sets with descriptions of equal length, brought to so many groups."""
+    rows = np.stack([np.frombuffer(v, np.uint8) for v in vectors])
+    half = rows.shape[1] // 2
+    counts = np.ascontiguousarray(rows[:, :half]).view("<u2").reshape(len(rows), -1, groups).sum(1, dtype=np.uint32)
+    return counts, np.bitwise_xor.reduce(rows[:, half:].reshape(len(rows), -1, 2 * groups), axis=1)
+
+
+def far_apart(left: np.ndarray, right: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether more parities differ than linked sets with so many elements together have unshared elements."""
+    return np.bitwise_count(left ^ right).sum(1, dtype=np.int64) > total - 2 * needed(total)
 
 
 def summary(docs: DataFrame, k: int) -> DataFrame:
@@ -235,8 +248,8 @@ class Tree:
 
 
 def tree_join(sids: np.ndarray, sizes: np.ndarray, vectors: list[bytes], parts: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sids of different parts, one of each side if there are two, whose count vectors allow a link."""
-    lengths = np.array([len(v) // 4 for v in vectors])
+    """Pairs of sids of different parts, one of each side if there are two, that the tree and then the parities let through."""
+    lengths = np.array([len(v) // 4 for v in vectors])  # of groups
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     kinds = np.unique(lengths)
     one = len(np.unique(sides)) == 1
@@ -249,12 +262,11 @@ def tree_join(sids: np.ndarray, sizes: np.ndarray, vectors: list[bytes], parts:
                     continue
                 if sizes[b].min() * NUM > DEN * sizes[a].max() or sizes[a].min() * NUM > DEN * sizes[b].max():
                     continue
-                trees = [
-                    Tree(folded(np.stack([np.frombuffer(vectors[x], np.uint32) for x in rows]), int(short)), sizes[rows]) for rows in (a, b)
-                ]
-                for x, y in trees[0].pairs(trees[1]):
+                (ca, fa), (cb, fb) = (described([vectors[x] for x in rows], int(short)) for rows in (a, b))
+                for x, y in Tree(ca, sizes[a]).pairs(Tree(cb, sizes[b])):
                     p, q = a[x], b[y]
-                    fine = parts[p] != parts[q]
+                    fine = (parts[p] != parts[q]) & ((sids[p] < sids[q]) | (not one or short != long))  # a tree with itself meets twice
+                    fine[fine] = ~far_apart(fa[x[fine]], fb[y[fine]], (sizes[p[fine]] + sizes[q[fine]]).astype(np.int64))
                     left.append(np.minimum(sids[p], sids[q])[fine])
                     right.append(np.maximum(sids[p], sids[q])[fine])
     return np.concatenate(left), np.concatenate(right)
@@ -294,8 +306,8 @@ def rest_links(cells: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFram
 # --- exact check and result -------------------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b) of those pairs of sids that link: count vectors first, then the shingles themselves."""
+def possible_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of those pairs of sids that counts and parities let through."""
     one = pairs.join(sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va")), "a")
     both = one.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb")), "b")
 
@@ -304,13 +316,17 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> Data
             get = {c: batch.column(c).to_pylist() for c in ("na", "nb", "va", "vb")}
             fine = []
             for n, m, v, w in zip(*get.values(), strict=True):
-                x, y = np.frombuffer(v, np.uint32), np.frombuffer(w, np.uint32)
-                g = min(len(x), len(y))
-                fine.append(int(np.minimum(folded(x[None], g), folded(y[None], g)).sum(dtype=np.int64)) >= -(-(n + m) * NUM // (NUM + DEN)))
-            keep = pa.array(fine, pa.bool_())
-            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(keep)
+                groups, total = min(len(v), len(w)) // 4, np.array([n + m])
+                (x, p), (y, q) = described([v], groups), described([w], groups)
+                fine.append(bool(np.minimum(x, y).sum(dtype=np.int64) >= needed(total)[0]) and not far_apart(p, q, total)[0])
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(fine, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bounded, "a long, b long")
+
 
-    possible = saved(both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(bounded, "a long, b long"), "possible")
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, bound: bool) -> DataFrame:
+    """(a, b) of those pairs of sids that link: their descriptions first (bound), then the shingles themselves."""
+    possible = saved(possible_links(pairs, sets) if bound else pairs, "possible")
     wanted = possible.select(F.col("a").alias("sid")).union(possible.select("b")).distinct()
     chosen = saved(sets.join(wanted, "sid", "left_semi").select("doc_id", "sid"), "chosen")
     texts = docs.join(small(chosen.select("doc_id")), "doc_id", "left_semi").select("text")
@@ -361,9 +377,9 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     sets = saved(sets, "sets")
     docs = docs.where("doc_id is not null")
     cells = candidate_cells(docs, k, often)
-    links = verified(chain_links(cells), sets, docs, k)
+    links = verified(chain_links(cells), sets, docs, k, True)
     groups = components(links)
-    more = verified(rest_links(cells, sets, groups), sets, docs, k)
+    more = verified(rest_links(cells, sets, groups), sets, docs, k, False)
     groups = saved(components(links.union(more)), "groups")
     least = groups.select(F.col("id").alias("sid"), "component").join(sets.select("sid", "doc_id"), "sid")
     least = least.groupBy("component").agg(F.min("doc_id").alias("least"))
