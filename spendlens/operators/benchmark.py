@@ -95,16 +95,22 @@ def diagnose(requests: DataFrame, benchmarks: DataFrame) -> DataFrame:
 
 
 def target_range(
-    metric: str, median: Column, value: Column | None = None, p25: Column | None = None, p75: Column | None = None
+    metric: str, median: Column, value: Column | None = None, p25: Column | None = None, p75: Column | None = None,
+    given_low: Column | None = None, given_high: Column | None = None,
 ) -> tuple[Column, Column]:
-    """Target of a metric: the middle half when known, else the median (or the value) ±15 %."""
+    """Target of a metric: the range given with it, else the middle half, each if both ends are known, else the median (or
+    the value, or a default) ±15 %."""
     centre = F.coalesce(*[c for c in (median, value) if c is not None], F.lit(DEFAULT_TARGET[metric]))
     span = F.greatest(F.lit(0.00001), centre * 0.15)
     low, high = F.greatest(F.lit(0.0), centre - span), centre + span
-    if p25 is None or p75 is None:
-        return low, high
-    both = p25.isNotNull() & p75.isNotNull()
-    return F.when(both, F.greatest(F.lit(0.0), p25)).otherwise(low), F.when(both, F.greatest(p75, p25)).otherwise(high)
+    if p25 is not None and p75 is not None:
+        both = p25.isNotNull() & p75.isNotNull()
+        low = F.when(both, F.greatest(F.lit(0.0), p25)).otherwise(low)
+        high = F.when(both, F.greatest(p75, p25)).otherwise(high)
+    if given_low is not None and given_high is not None:
+        both = given_low.isNotNull() & given_high.isNotNull()
+        low, high = F.when(both, given_low).otherwise(low), F.when(both, given_high).otherwise(high)
+    return low, high
 
 
 def verdict(value: Column, low: Column, high: Column, lower: Column) -> Column:

@@ -332,6 +332,18 @@ def current_snapshot(snapshots: DataFrame) -> DataFrame:
     return snapshots.agg(F.max_by(F.struct(*snapshots.columns), order).alias("s")).where("s is not null").select("s.*")
 
 
+def current_or_default_snapshot(snapshots: DataFrame, now: Column) -> DataFrame:
+    """The current snapshot, or for an empty registry one row that stands for the database itself."""
+    default = {
+        "snapshot_date": now.cast("date"), "last_modified": now, "file_name": F.lit("database"), "file_size_bytes": F.lit(0),
+        "record_count": F.lit(0), "is_current": F.lit(True),
+    }
+    fields = [default.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in snapshots.schema.fields]
+    order = F.struct(F.coalesce("is_current", F.lit(False)), "snapshot_date", "file_name")
+    newest = F.max_by(F.struct(*snapshots.columns), order)
+    return snapshots.agg(F.coalesce(newest, F.struct(*fields)).alias("s")).select("s.*")
+
+
 def with_current_flag(snapshots: DataFrame) -> DataFrame:
     """Registry rows with ``is_current`` worked out at read time: the newest row wins."""
     newest = snapshots.agg(F.max(F.struct("snapshot_date", "last_modified")).alias("_newest"))

@@ -210,6 +210,17 @@ def table_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*entries).alias("p"), F.count("*").alias("rows")).select("rows", F.inline("p"))
 
 
+def sample_rows(df: DataFrame, rows: int = 3) -> DataFrame:
+    """Some rows of a table as JSON text, for a look at it; which ones is not fixed. Spark stops reading when it has them."""
+    return df.limit(rows).select(F.to_json(F.struct("*")).alias("row"))
+
+
+def campaign_samples(spark: SparkSession, database: str | None = None, rows: int = 3) -> dict[str, list[str]]:
+    """Sample rows of every catalog table with campaign-like columns."""
+    names = campaign_tables(spark, database)
+    return {n: [r["row"] for r in sample_rows(spark.table(n if database is None else f"{database}.{n}"), rows).collect()] for n in names}
+
+
 def campaign_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Names of catalog tables with campaign-like columns."""
     hits = []

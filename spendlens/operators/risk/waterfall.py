@@ -37,13 +37,38 @@ def flat_drivers(df: DataFrame) -> Column:
     return F.array_compact(F.array(*entries))
 
 
+# What each part of a driver is called, by age of the score; the first name that a driver has and fills counts.
+DRIVER_FIELDS = {
+    "name": (("label", "name"), "string"), "points": (("points", "impact"), "double"), "is_controllable": (("is_controllable",), "boolean"),
+    "explanation": (("explanation", "why"), "string"), "lift_x": (("lift_x",), "double"), "rel_pct": (("rel_pct",), "double"),
+}
+
+
+def uniform_drivers(df: DataFrame, drivers: str) -> Column:
+    """Drivers of any scorer in one form; where the list is missing or empty, those of the flat fields."""
+    have = df.select(F.explode_outer(drivers).alias("d")).schema["d"].dataType.fieldNames()
+
+    def part(d: Column, names: tuple[str, ...], kind: str) -> Column:
+        found = [d[n].cast(kind) for n in names if n in have]
+        return F.coalesce(*found) if found else F.lit(None).cast(kind)
+
+    listed = F.transform(drivers, lambda d: F.struct(*[part(d, names, kind).alias(n) for n, (names, kind) in DRIVER_FIELDS.items()]))
+    flat = F.transform(
+        flat_drivers(df),
+        lambda d: F.struct(*[d[n].cast(k).alias(n) for n, (_, k) in DRIVER_FIELDS.items() if n != "rel_pct"], F.lit(None).cast("double").alias("rel_pct")),
+    )
+    return F.when(F.size(F.coalesce(drivers, F.array())) > 0, listed).otherwise(flat)
+
+
 def churn_waterfall(
     df: DataFrame, total_pct: Column, baseline: Column, drivers: Column, total_unclamped: Column, out: str = "waterfall"
 ) -> DataFrame:
     """Whole-point bars that add up to the unclamped total: zero bars go, the rounding rest joins the last bar.
 
-    NULL when there is nothing to draw.
+    NULL when there is nothing to draw. Drivers come as this package makes them or from ``uniform_drivers``; ``rel_pct`` is
+    shown where a driver has it.
     """
+    shape = df.select(drivers.alias("d")).schema["d"].dataType.elementType.fieldNames()
     df = df.withColumns(
         {
             "_total": half_even(total_pct).cast("int"),
@@ -61,6 +86,7 @@ def churn_waterfall(
                         .alias("type"),
                         F.coalesce(d["explanation"], F.lit("")).alias("why"),
                         d["lift_x"].alias("lift_x"),
+                        *([d["rel_pct"].alias("rel_pct")] if "rel_pct" in shape else []),
                     ),
                 ),
                 lambda b: b["pp"] != 0,

@@ -72,6 +72,19 @@ def _(spark, sf):
         "goal_status", "primary_recommendation")
 
 
+@query("target_ranges", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size * 0.5e0 WHEN p_partkey % 4 = 1 THEN greatest(0, p_size - 20)
+  ELSE greatest(0e0, m - greatest(0.00001e0, m * 0.15e0)) END::DOUBLE AS low,
+CASE WHEN p_partkey % 4 = 0 THEN p_size WHEN p_partkey % 4 = 1 THEN greatest(p_size - 20, 25) ELSE m + greatest(0.00001e0, m * 0.15e0) END::DOUBLE AS high
+FROM (SELECT *, CASE p_partkey % 4 WHEN 2 THEN p_retailprice ELSE 50e0 END AS m FROM part)""")
+def _(spark, sf):
+    """A given range, a known middle half, a median, and nothing known, in turn over all parts."""
+    kind, size = F.col("p_partkey") % 4, F.col("p_size").cast("double")
+    low, high = ops.target_range(
+        "CPL", F.when(kind == 2, F.col("p_retailprice")), None, F.when(kind != 2, F.when(kind == 1, size - 20)), F.when(kind == 1, F.lit(25.0)),
+        F.when(kind == 0, size * 0.5), F.when(kind == 0, size))
+    return tb.table(spark, sf, "part").select("p_partkey", low.alias("low"), high.alias("high"))
+
+
 @query("diagnosis_history", f"""{DIAG} SELECT request_id, category_key, budget, clicks, leads, goal_cpl, cpl, cpc, cr, goal_status,
 CASE goal_status WHEN 'achieved' THEN 'scale' WHEN 'behind' THEN 'optimize' END AS primary_recommendation, TIMESTAMP '2025-09-20 06:00:00' AS created_at FROM diag""")
 def _(spark, sf):

@@ -363,3 +363,30 @@ def test_catalog_helpers(spark, folder):
     assert sorted(r["a"] for r in files.read_json_items(spark, folder).collect()) == [1, 2]
     spark.range(3).write.parquet(os.path.join(folder, "p"))
     assert files.read_parquet_files(spark, os.path.join(folder, "p")).select("source_file").distinct().count() >= 1
+
+
+def test_default_snapshot(spark):
+    schema = "snapshot_date date, file_name string, file_size_bytes bigint, record_count bigint, last_modified timestamp_ntz, is_current boolean"
+    some = spark.createDataFrame([(AS_OF, "a.csv", 1, 2, LOADED, False), (AS_OF, "b.csv", 1, 2, LOADED, None)], schema)
+    now = F.lit("2025-09-21 01:02:03").cast("timestamp_ntz")
+    assert [r["file_name"] for r in book.current_or_default_snapshot(some, now).collect()] == ["b.csv"]
+    (row,) = book.current_or_default_snapshot(some.limit(0), now).collect()
+    assert (row["snapshot_date"], row["file_name"], row["record_count"], row["is_current"]) == (dt.date(2025, 9, 21), "database", 0, True)
+
+
+def test_drivers_of_every_scorer_can_be_drawn(spark):
+    from spendlens.operators.risk import waterfall
+
+    listed = "array<struct<name: string, impact: double, is_controllable: boolean, why: string, rel_pct: double>>"
+    rows = [(20.0, 11.0, [("Few leads", 9.0, True, "w", 40.0)], None), (16.0, 11.0, [], 5.0), (14.0, 11.0, None, 3.0), (0.0, 0.0, None, None)]
+    df = spark.createDataFrame(rows, f"total double, base double, drivers {listed}, risk_pacing_pp double")
+    drawn = waterfall.churn_waterfall(df, F.col("total"), F.col("base"), waterfall.uniform_drivers(df, "drivers"), F.col("total"))
+    got = [r["waterfall"] and [(d["label"], d["pp"], d["type"], d["rel_pct"]) for d in r["waterfall"]["drivers"]] for r in drawn.collect()]
+    assert got == [[("Few leads", 9, "controllable", 40.0)], [("Off-pacing", 5, "controllable", None)], [("Off-pacing", 3, "controllable", None)], None]
+
+
+def test_campaign_samples(spark):
+    from spendlens.operators import quality
+
+    spark.createDataFrame([(1, "x"), (2, "y")], "campaign_id int, note string").createOrReplaceTempView("sampled_campaigns")
+    assert sorted(quality.campaign_samples(spark)["sampled_campaigns"]) == ['{"campaign_id":1,"note":"x"}', '{"campaign_id":2,"note":"y"}']
