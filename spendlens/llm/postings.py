@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .words import mix
+
 #: Postings that a map task gathers before it hands out its blocks (8 bytes each).
 FLUSH = 2_000_000
 PACKED = "range int, block binary"
@@ -34,13 +36,27 @@ def packed(found: Iterator[tuple[int, int, np.ndarray]], ranges: int) -> Iterato
 def _blocks(owners: list[int], sizes: list[int], hashes: list[np.ndarray], ranges: int) -> pa.RecordBatch:
     counts = np.array([len(x) for x in hashes])
     flat, row = np.concatenate(hashes), np.repeat(np.arange(len(counts)), counts)
-    to = ((flat >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
+    return _dealt(_range_of(flat, ranges), flat, row, np.array(owners, np.int64), np.array(sizes, np.uint32))
+
+
+def owner_blocks(hashes: np.ndarray, owners: np.ndarray, ranges: int) -> pa.Table:
+    """Blocks of postings dealt by their owners, the way back from hash ranges to documents."""
+    names, row = np.unique(owners, return_inverse=True)
+    order = np.argsort(row, kind="stable")
+    to = _range_of(mix(names.view(np.uint64)), ranges)[row[order]]
+    return pa.Table.from_batches([_dealt(to, hashes[order], row[order], names, np.zeros(len(names), np.uint32))])
+
+
+def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
+    return ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+
+
+def _dealt(to: np.ndarray, flat: np.ndarray, row: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(to, kind="stable")
     flat, row, to = flat[order], row[order], to[order]
-    cuts = np.flatnonzero(np.diff(to, prepend=-1 if to.dtype == np.int64 else to[0] + 1)) if len(to) else np.zeros(0, int)
-    owner, size = np.array(owners, np.int64), np.array(sizes, np.uint32)
+    cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, int)
     names, blobs = [], []
-    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=bool(len(to))):
         rows, n = np.unique(row[a:b], return_counts=True)
         head = np.array([len(rows)], np.int64)
         blobs.append(b"".join(x.tobytes() for x in (head, owner[rows], size[rows], n.astype(np.uint32), flat[a:b])))

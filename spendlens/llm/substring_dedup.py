@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import PACKED, binary_rows, by_range, packed
+from .postings import PACKED, binary_rows, by_range, owner_blocks, packed
 from .storage import BROADCAST_IDS, ready, saved
 from .words import blocks, runs, word_hashes
 
@@ -36,8 +36,8 @@ def _documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple
                 yield batch, row, b - a, windows[a : a + n], least[a : a + n]
 
 
-def _replies(hashes: np.ndarray, owners: np.ndarray, keep_first: bool) -> pa.Table:
-    """(doc_id, hashes): what each document shares; keep_first: its first document too, else only those after it."""
+def _shared_postings(hashes: np.ndarray, owners: np.ndarray, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Postings whose hash other documents have too; keep_first: its first document's too, else only those after it."""
     order = np.lexsort((owners, hashes))
     hashes, owners = hashes[order], owners[order]
     new = np.ones(len(hashes), bool)
@@ -45,16 +45,22 @@ def _replies(hashes: np.ndarray, owners: np.ndarray, keep_first: bool) -> pa.Tab
     run = np.cumsum(new) - 1
     later = owners > owners[np.flatnonzero(new)][run]
     take = np.bincount(run, later)[run] > 0 if keep_first else later
-    hashes, owners = hashes[take], owners[take]
+    return hashes[take], owners[take]
+
+
+def _by_document(hashes: np.ndarray, owners: np.ndarray) -> pa.Table:
     order = np.argsort(owners, kind="stable")
     hashes, owners = hashes[order], owners[order]
-    cuts = np.append(np.flatnonzero(np.diff(owners, prepend=owners[0] - 1)) if len(owners) else np.zeros(0, int), len(owners)).astype(np.int64)
-    return pa.table({"doc_id": pa.array(owners[cuts[:-1]]), "found": binary_rows(hashes, cuts)})
+    cuts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1])) if len(owners) else np.zeros(0, int)
+    at = np.append(cuts, len(owners)).astype(np.int64)
+    return pa.table({"doc_id": pa.array(owners[cuts]), "found": binary_rows(hashes, at)})
 
 
-def _shared(postings: DataFrame, keep_first: bool, name: str) -> DataFrame:
-    rows = by_range(postings, lambda h, owner, _: _replies(h, owner, keep_first), "doc_id long, found binary")
-    return saved(rows.groupBy("doc_id").agg(F.collect_list("found").alias("found")), name)  # a document's share of its own windows
+def _shared(postings: DataFrame, keep_first: bool, ranges: int, name: str) -> DataFrame:
+    """(doc_id, found): the hashes that each document shares. Both ways, to hash ranges and back to documents, postings move
+    as blocks; what one document gets back is a part of its own windows."""
+    back = by_range(postings, lambda h, owner, _: owner_blocks(*_shared_postings(h, owner, keep_first), ranges), PACKED)
+    return saved(by_range(back, lambda h, owner, _: _by_document(h, owner), "doc_id long, found binary"), name)
 
 
 def _joined(docs: DataFrame, found: DataFrame, every: bool) -> DataFrame:
@@ -65,7 +71,7 @@ def _joined(docs: DataFrame, found: DataFrame, every: bool) -> DataFrame:
     rows = docs.join(ids, "doc_id", "left_semi").join(found, "doc_id").select("doc_id", "text", "found")
     if not every:
         return rows
-    alone = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("found"))
+    alone = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
     return rows.unionByName(alone)
 
 
@@ -106,7 +112,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def of_list(batch: pa.RecordBatch, row: int) -> np.ndarray:
         got = batch.column("found")[row].as_py()
-        return np.frombuffer(b"".join(got), np.uint64) if got else np.zeros(0, np.uint64)
+        return np.frombuffer(got, np.uint64) if got else np.zeros(0, np.uint64)
 
     def post_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int, np.ndarray]]:
@@ -118,8 +124,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from packed(found(), ranges)
 
     known = docs.where("doc_id is not null")
-    anchors = _shared(known.mapInArrow(post_anchors, PACKED), True, "anchors")
-    shared = _shared(_joined(known, anchors, False).mapInArrow(post_windows, PACKED), False, "windows")
+    anchors = _shared(known.mapInArrow(post_anchors, PACKED), True, ranges, "anchors")
+    shared = _shared(_joined(known, anchors, False).mapInArrow(post_windows, PACKED), False, ranges, "windows")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept", "factors")}
