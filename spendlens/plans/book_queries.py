@@ -117,12 +117,12 @@ def _(spark, sf):
 
 
 @query("advertiser_rollup", f"""{tb.with_tables("camp")} SELECT partner_name, advertiser_name, count(*) AS campaign_count,
-round(sum(campaign_budget), 2) AS total_budget, count(DISTINCT business_category) AS n_products, min(business_category) AS first_product FROM camp GROUP BY 1, 2""")
+round(sum(campaign_budget), 2) AS total_budget, string_agg(DISTINCT business_category, '|' ORDER BY business_category) AS products FROM camp GROUP BY 1, 2""")
 def _(spark, sf):
     rows = ops.advertiser_rollup(tb.campaigns(spark, sf))
     return rounded(rows.select(
         "partner_name", "advertiser_name", F.col("campaign_count"), "total_budget",
-        F.size("products").cast("bigint").alias("n_products"), F.get("products", F.lit(0)).alias("first_product")), 2)
+        F.array_join("products", "|").alias("products")), 2)
 
 
 OPPORTUNITY = HEUR + """,
@@ -209,15 +209,15 @@ def _(spark, sf):
     return ops.best_row_per_campaign(rows).drop("advertiser_name")
 
 
-@query("partner_contacts", f"""{tb.with_tables("camp")} SELECT campaign_id, coalesce(s.s_name, am) AS am, s.n_name AS gm FROM camp
+@query("partner_contacts", f"""{tb.with_tables("camp")} SELECT campaign_id, coalesce(s.s_name, am) AS am, 'OPT ' || s.s_suppkey AS optimizer, s.n_name AS gm FROM camp
 LEFT JOIN (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey) s ON camp.bid_name = 'BID ' || CAST(s.s_suppkey AS VARCHAR)""")
 def _(spark, sf):
     partners = tb.table(spark, sf, "supplier").join(
         tb.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     ).select(F.concat(F.lit("BID "), F.col("s_suppkey").cast("string")).alias("partner_bid"),
-             F.col("s_name").alias("am"), F.lit(None).cast("string").alias("optimizer"), F.col("n_name").alias("gm"))
+             F.col("s_name").alias("am"), F.concat(F.lit("OPT "), F.col("s_suppkey").cast("string")).alias("optimizer"), F.col("n_name").alias("gm"))
     rows = tb.campaigns(spark, sf).withColumnRenamed("bid_name", "bid")
-    return ops.with_partner_contacts(rows, partners).select("campaign_id", "am", "gm")
+    return ops.with_partner_contacts(rows, partners).select("campaign_id", "am", "optimizer", "gm")
 
 
 @query("book_overview", f"""{tb.with_tables("camp")} SELECT count(*) AS total_campaigns, count(DISTINCT partner_name) AS unique_partners,

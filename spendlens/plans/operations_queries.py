@@ -361,12 +361,18 @@ BENCH_TEXT = """'{"version":"v' || cast(p_size as string) || '","records":{"_ver
 || ',"dms":{"top10":"' || cast(p_size as string) || '","avg":"n/a"}},"ctr":{"median":0.25},"sample_size":' || cast(p_size as string) || '}}}'"""
 
 
-@query("benchmark_file_rows", """SELECT p_partkey, p_type || '|' || p_brand AS key, p_type AS category, 'unknown' AS subcategory, CAST(p_partkey AS DOUBLE) AS cpl_median,
-CAST(p_size AS DOUBLE) AS cpl_top10, NULL::DOUBLE AS cpl_avg, 0.25e0 AS ctr_median, p_size AS sample_size FROM part""")
+# Columns of a benchmark row, and what the test files fill of them; the others are NULL.
+BENCH_COLUMNS = [f"{m}_{p}" for m, parts in (("cpl", reports.SPREAD), ("cpc", reports.SPREAD), ("ctr", reports.SPREAD), ("budget", reports.BUDGET_SPREAD))
+                 for p in ("median", *parts)]
+BENCH_FILLED = {"cpl_median": "CAST(p_partkey AS DOUBLE)", "cpl_top10": "CAST(p_size AS DOUBLE)", "ctr_median": "0.25e0"}
+
+
+@query("benchmark_file_rows", f"""SELECT p_partkey, p_type || '|' || p_brand AS key, p_type AS category, 'unknown' AS subcategory,
+{", ".join(f"{BENCH_FILLED.get(c, 'NULL::DOUBLE')} AS {c}" for c in BENCH_COLUMNS)}, p_size AS sample_size, NULL::VARCHAR AS confidence_level,
+NULL::DOUBLE AS data_quality_score FROM part""")
 def _(spark, sf):
     files = reports.parse_benchmark_files(tb.table(spark, sf, "part").select("p_partkey", F.expr(BENCH_TEXT).alias("text")))
-    return reports.benchmark_rows(files, ["p_partkey"]).select(
-        "p_partkey", "key", "category", "subcategory", "cpl_median", "cpl_top10", "cpl_avg", "ctr_median", "sample_size")
+    return reports.benchmark_rows(files, ["p_partkey"])
 
 
 @query("benchmark_snapshots", """SELECT '2025-9-' || (1 + p_partkey % 28) || '-bench-' || p_partkey || '.json' AS source_file, 'v' || p_size AS version,
