@@ -298,9 +298,18 @@ def rest_links(cells: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFram
         table = table.combine_chunks()
         get = lambda c: table.column(c).to_numpy()
         a, b = tree_join(get("sid"), get("n"), table.column("vector").to_pylist(), get("part"), get("side"))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return members.groupBy("cell", "i", "j").applyInArrow(joined, "a long, b long").distinct()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, int)
+        return pa.table({"a": pa.array(a[cuts]), "bs": binary_rows(b, np.append(cuts, len(b)).astype(np.int64))})
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        b = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("bs")]))
+        return pa.table({"a": pa.array(np.full(len(b), key[0].as_py())), "b": pa.array(b)})
+
+    # A pair may pass in many cells; a set's partners travel as one value per cell and become pairs once.
+    partners = members.groupBy("cell", "i", "j").applyInArrow(joined, "a long, bs binary")
+    return partners.groupBy("a").applyInArrow(merged, "a long, b long")
 
 
 # --- exact check and result -------------------------------------------------------------------------------------------
