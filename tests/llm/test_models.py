@@ -233,3 +233,9 @@ def test_pipeline(spark, small):
     assert kept["secrets"].where(F.col("text").rlike('token = "[0-9a-f]{40}"')).count() == 0
     lengths = kept["packing"].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert lengths.where("n != m").count() == 0
+
+
+def test_queries_without_sql():
+    missing = set(queries.QUERIES) - set(queries.ORACLE)
+    assert missing == {"op4_language_id", "op5_token_output", "op6_secret_scan", "op9_packing", "op10_token_counts"}
+    assert corpus_pipeline.ORACLE_SQL is None
