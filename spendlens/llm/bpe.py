@@ -9,13 +9,15 @@ white space, or with two of it in a row, go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: The worker's dictionary is emptied when it holds so many pieces (about 200 bytes each).
-MOST_PIECES = 600_000
+#: Pieces in each of the worker's two dictionaries (about 200 bytes each). When the newer one is full it takes the older one's
+#: place; pieces that are met again move over.
+MOST_PIECES = 400_000
 TOKENIZER = "byte_bpe_50k.json"
 #: Two blanks in a row, and every white space besides blank and line break.
 _ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n"))
@@ -38,6 +40,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -45,17 +48,23 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in got]
 
     def _learn(self, pieces: set[str]) -> None:
-        model, letters, known, rest = self.tokenizer.model, self.letters, self.known, []
+        model, letters, known, older, rest = self.tokenizer.model, self.letters, self.known, self.older, []
         for piece in pieces:
+            ids = older.get(piece)
+            if ids is not None:
+                known[piece] = ids
+                continue
             m = _PIECE.fullmatch(piece)
             if m is None or "'" in m[2]:
                 rest.append(piece)
                 continue
             word, marks = m[1], m[2]
-            ids = known.get(word)
+            ids = known.get(word) or older.get(word)
             if ids is None:  # one pre-token: a blank and letters
                 spelled = (" " + word).encode().decode("latin-1").translate(letters)
-                ids = np.array([t.id for t in model.tokenize(spelled)], "<u4").tobytes()
+                ids = array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+                known[word] = ids
+            elif not marks:
                 known[word] = ids
             if marks:  # one pre-token of signs
                 end = known.get("\0" + marks)
@@ -69,7 +78,8 @@ class Encoder:
         """Each text's ids as little-endian unsigned 32-bit integers; a null is an empty text."""
         known = self.known
         if len(known) > MOST_PIECES:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
         all_plain = _plain("\x01".join(filter(None, texts)))
         cut: list[list[str]] = []
         got: list[list[bytes | None]] = []
