@@ -16,7 +16,7 @@ from .storage import ready, saved
 THRESHOLD = 0.9
 #: Vectors per pivot, and pivots at most: the pivots are in every task.
 PER_PIVOT, MOST_PIVOTS = 4096, 1024
-#: Home vectors that one task compares with a cell's rows; more are dealt out in such blocks.
+#: A cell's members, and its visitors, are dealt out in blocks of about so many; a task compares two blocks.
 BLOCK = 2048
 #: Far above the error of a single precision product of unit vectors; closer ones are computed again in double precision.
 NEAR = 1e-4
@@ -67,11 +67,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding); threshold is a cosine above 0.
 
     Every pair of rows with a cosine of threshold or more, in double precision, is a link, whatever else the rows hold. The
-    angle between vectors is a metric. Each distinct vector has its home with the nearest pivot, and visits the other cells
+    angle between vectors is a metric. Each distinct vector has its home with the nearest pivot, and visits the earlier cells
     whose members it can reach by the triangle inequality: its angle to their pivot exceeds neither the cell's radius by more
     than the join's angle nor its angle to its own pivot by more than twice that. Each cell then compares its members with
     its members and visitors on its own. Links are counted, not listed; what leaves a cell is a count and one spanning pair
-    at most per vector and block. Equal vectors are compared once, however many there are; large cells are split in blocks.
+    at most per vector and task. Equal vectors are compared once, however many there are. A cell's members and its visitors
+    are dealt by hash into blocks of about BLOCK, and a task compares two blocks, so it holds no more in a cell of any size.
     Pivots are few vectors chosen by hash and only steer the work.
 
     Vectors that are null, zero, empty, or hold null or non-finite components, and rows with a null vec_id, link with nothing:
@@ -102,40 +103,81 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 yield pa.record_batch({"dim": pa.array(np.full(len(units), dim, np.int32)), "cell": pa.array(angles.argmin(1).astype(np.int32)), "angle": pa.array(angles.min(1))})
 
     radii = classes.mapInArrow(homes, "dim int, cell int, angle double").groupBy("dim", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
-    cells = {(r["dim"], r["cell"]): (r["radius"], -(-r["n"] // BLOCK)) for r in radii.collect()}  # a row per pivot
-    bounds = spark.sparkContext.broadcast(cells)
+    found_radii = {(r["dim"], r["cell"]): (r["radius"], r["n"]) for r in radii.collect()}  # a row per pivot
+    bounds = spark.sparkContext.broadcast({k: x for k, (x, _) in found_radii.items()})
+
+    def stays(dim: int, units: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(cell, places of its members, places of its visitors): a pair from two cells meets in the earlier one only."""
+        angles = _angles(units, shared.value[dim])
+        home = angles.argmin(1)
+        own = angles[np.arange(len(units)), home]
+        for cell in range(angles.shape[1]):
+            radius = bounds.value.get((dim, cell))
+            if radius is not None:
+                visits = (home > cell) & (angles[:, cell] <= np.minimum(radius + reach, own + 2 * reach) + SLACK)
+                yield cell, np.flatnonzero(home == cell), np.flatnonzero(visits)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            for dim, units, _ in by_dim(batch):
+                for cell, _, visitors in stays(dim, units):
+                    sums[dim, cell] = sums.get((dim, cell), 0) + len(visitors)
+        yield pa.record_batch({
+            "dim": pa.array([d for d, _ in sums], pa.int32()), "cell": pa.array([c for _, c in sums], pa.int32()), "n": pa.array(list(sums.values()), pa.int64()),
+        })
+
+    visitors = classes.mapInArrow(counted, "dim int, cell int, n long").groupBy("dim", "cell").agg(F.sum("n").alias("n"))
+    visitors = {(r["dim"], r["cell"]): r["n"] for r in visitors.collect()}  # a row per pivot
+    dealt = spark.sparkContext.broadcast({k: (-(-n // BLOCK), -(-visitors.get(k, 0) // BLOCK)) for k, (_, n) in found_radii.items()})
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, units, part in by_dim(batch):
-                angles = _angles(units, shared.value[dim])
-                home, cids = angles.argmin(1), part.column("cid").to_numpy()
-                own = angles[np.arange(len(units)), home]
-                for cell in range(angles.shape[1]):
-                    radius, blocks = bounds.value.get((dim, cell), (0.0, 0))
-                    goes = np.flatnonzero((home == cell) | (angles[:, cell] <= np.minimum(radius + reach, own + 2 * reach) + SLACK))
-                    block_of = np.where(home[goes] == cell, cids[goes] % max(blocks, 1), -1)
-                    for block in range(blocks):
-                        rows = part.take(pa.array(goes))
-                        fixed = {"dim": np.full(len(goes), dim, np.int32), "cell": np.full(len(goes), cell, np.int32), "block": np.full(len(goes), block, np.int32)}
-                        yield pa.record_batch({**{k: pa.array(x) for k, x in fixed.items()}, "home": pa.array(block_of == block), "cid": rows.column("cid"), "copies": rows.column("copies"), "v": rows.column("v")})
+                cids = part.column("cid").to_numpy().astype(np.uint64)
+                mixed = (cids ^ (cids >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                for cell, mine, others in stays(dim, units):
+                    own_blocks, visitor_blocks = (np.uint64(x) for x in dealt.value[dim, cell])
+
+                    def sent(at: np.ndarray, left: np.ndarray, right: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
+                        rows, same = part.take(pa.array(at)), np.ones(len(at), np.int32)
+                        fixed = {"dim": same * np.int32(dim), "cell": same * np.int32(cell), "first": (same * left).astype(np.int32), "second": (same * right).astype(np.int32), "home": home}
+                        return pa.record_batch({**{k: pa.array(x) for k, x in fixed.items()}, "cid": rows.column("cid"), "copies": rows.column("copies"), "v": rows.column("v")})
+
+                    if len(mine):
+                        block = (mixed[mine] % own_blocks).astype(np.int32)
+                        for other in range(int(own_blocks)):
+                            yield sent(mine, np.minimum(block, other), np.maximum(block, other), block <= other)
+                        for other in range(int(visitor_blocks)):
+                            yield sent(mine, block, np.int32(own_blocks) + other, np.ones(len(mine), bool))
+                    if len(others):
+                        block = np.int32(own_blocks) + (mixed[others] % visitor_blocks).astype(np.int32)
+                        for other in range(int(own_blocks)):
+                            yield sent(others, np.int32(other), block, np.zeros(len(others), bool))
 
     def compared(table: pa.Table) -> pa.Table:
+        """Links of the first block with the second, counted for both; of a block with itself, where there is no second."""
         table = table.combine_chunks()
         units = _unit(table.column("v").combine_chunks())
         cids, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
-        mine = np.flatnonzero(table.column("home").to_numpy())
-        single, base = units.astype(np.float32), units[mine].astype(np.float32).T.copy()
+        home = table.column("home").to_numpy()
+        alone = table.column("first")[0] == table.column("second")[0]
+        mine, others = np.flatnonzero(home), np.arange(len(cids)) if alone else np.flatnonzero(~home)
+        base = units[mine].astype(np.float32).T.copy()
         counts, left, right = np.zeros(len(cids), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(cids), 512):
-            cosine = single[at : at + 512] @ base
+        for at in range(0, len(others), 512):
+            rows = others[at : at + 512]
+            cosine = units[rows].astype(np.float32) @ base
             x, y = np.nonzero(cosine >= threshold - NEAR)
             close = np.abs(cosine[x, y] - threshold) <= NEAR
             sure = np.ones(len(x), bool)
-            sure[close] = np.einsum("ij,ij->i", units[x[close] + at], units[mine[y[close]]]) >= threshold
-            sure &= cids[x + at] != cids[mine[y]]
-            x, y = x[sure] + at, mine[y[sure]]
+            sure[close] = np.einsum("ij,ij->i", units[rows[x[close]]], units[mine[y[close]]]) >= threshold
+            x, y = rows[x], mine[y]
+            sure &= x != y
+            x, y = x[sure], y[sure]
             counts += np.bincount(x, copies[y], len(cids)).astype(np.int64)
+            if not alone:
+                counts += np.bincount(y, copies[x], len(cids)).astype(np.int64)
             for a, b in _spanning(cids[x], cids[y]):
                 left.append(a)
                 right.append(b)
@@ -147,8 +189,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             "a": pa.concat_arrays([none(len(linked)), pa.array(a)]), "b": pa.concat_arrays([none(len(linked)), pa.array(b)]),
         })
 
-    rows = classes.mapInArrow(visits, "dim int, cell int, block int, home boolean, cid long, copies long, v array<double>")
-    found = saved(rows.groupBy("dim", "cell", "block").applyInArrow(compared, "cid long, n long, a long, b long"), "found")
+    rows = classes.mapInArrow(visits, "dim int, cell int, first int, second int, home boolean, cid long, copies long, v array<double>")
+    found = saved(rows.groupBy("dim", "cell", "first", "second").applyInArrow(compared, "cid long, n long, a long, b long"), "found")
     counts = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("n"))
     groups = components(found.where("a is not null").select("a", "b")).withColumnRenamed("id", "cid")
     known = classes.select("cid", "copies").join(counts, "cid", "left").join(groups, "cid", "left")

@@ -169,6 +169,29 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_bound_every_group(spark, monkeypatch):
+    """Vectors without clusters and a tight cluster: no group holds more than two blocks, as hashes deal them."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 150)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    largest, real = [], PandasGroupedOpsMixin.applyInArrow
+
+    def seen(self, func, schema):
+        if "copies" in self._df.columns:
+            keys = [c for c in self._df.columns if c not in ("home", "cid", "copies", "v")]
+            largest.append(self._df.groupBy(*keys).count().agg(F.max("count")).head()[0])
+        return real(self, func, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", seen)
+    rng = np.random.default_rng(8)
+    base = np.concatenate([rng.normal(size=(250, 16)), np.ones((150, 16)) + rng.normal(0, 0.2, (150, 16))])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == vectors_wanted(rows)
+    assert largest and largest[0] <= 2 * 20 * 1.7
+
+
 def test_language_id_held_out(spark, small):
     got = queries.op4_language_id(spark, small)
     truth = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
