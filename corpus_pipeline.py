@@ -20,9 +20,12 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; what the operator calls undetermined goes. Labels stay as they came."""
-    found = predict(_documents(docs), train(docs.select("text", "lang")))
-    return found.where("lang_pred != 'und'").select(*COLUMNS)
+    """Documents whose language can be told; what the operator calls undetermined, ambiguous or far from every language goes.
+    Without any label there is nothing to tell languages by, and every document with a letter stays. Labels stay as they came."""
+    model = train(docs.select("text", "lang"))
+    if not model.languages:
+        return _documents(docs).where(F.col("text").rlike(r"\p{L}"))
+    return predict(_documents(docs), model).where("lang_pred != 'und' and not ambiguous and not far").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

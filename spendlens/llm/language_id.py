@@ -22,6 +22,8 @@ MOST_LANGUAGES = 200
 #: Code length for more than five languages, where the code with every split in two would be too long.
 CODE_BITS = 31
 UNDETERMINED = "und"
+#: Distance from the best codeword beyond which a text is far; short texts scatter more, by FAR_SHORT over the root of their n-grams.
+FAR, FAR_SHORT = 0.45, 3.0
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
 
@@ -30,6 +32,7 @@ class Model(NamedTuple):
     code: np.ndarray  # languages x bits, entries -1 and 1
     weights: np.ndarray  # counters x bits: log odds of the bit's two sides
     trust: np.ndarray  # weight of each bit's loss
+    usual: np.ndarray | None = None  # languages x bits: mean log odds of an n-gram in the language's own texts
 
 
 def codewords(n: int) -> np.ndarray:
@@ -118,7 +121,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             weights[:, bit] = np.log(share[one].mean(0)) - np.log(share[other].mean(0))
             margin = code[:, bit] * (share @ weights[:, bit])
             trust[bit] = max(0.05, float(np.tanh(10 * margin.min())))
-    return Model(languages, code, weights, trust / trust.sum() if len(trust) else trust)
+    return Model(languages, code, weights, trust / trust.sum() if len(trust) else trust, share @ weights)
 
 
 def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,20 +137,32 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, top[:, -1], lead
 
 
+def distances(model: Model, margins: np.ndarray, grams: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """How far each text is from its best codeword, by mean log odds of its n-grams: 0 where every bit speaks for the language
+    as clearly as its own training texts do, about 1 where the bits say nothing, more where they speak against it."""
+    if model.usual is None:
+        return np.zeros(len(margins))
+    code, usual = model.code[best], model.usual[best]
+    clear = np.abs(usual) > 1e-9  # one language alone has nothing to be told from
+    agree = margins / np.maximum(grams, 1)[:, None] * code / np.where(clear, np.abs(usual), 1.0)
+    return (np.where(clear, np.maximum(1 - agree, 0), 0) * model.trust).sum(1)
+
+
 def _has_letter(raw: np.ndarray) -> bool:
     low = raw | 32
     return bool(((low >= 97) & (low <= 122)).any()) or any(map(str.isalpha, bytes(raw[raw >= 128]).decode("utf-8", "ignore")))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below: float = 0.2) -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and ambiguous added, by the whole text alone.
+    """docs with lang_pred, score (0 to 1), ambiguous, distance and far added, by the whole text alone.
 
     `und` with score 0 for a null text, one without letters, or if nothing was learned. ambiguous: the two best codewords
     are nearly as close as each other (their scores differ by less than ambiguous_below), or the text is `und`. Ties go to
-    the language first in the alphabet. Repeated rows are predicted alike; columns of these three names are replaced.
+    the language first in the alphabet. distance is that of `distances` (null for `und`); far: it exceeds FAR by more than
+    chance explains in a text of that length. Repeated rows are predicted alike; columns of these five names are replaced.
     """
     ready(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop("lang_pred", "score", "ambiguous", "distance", "far")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # COUNTERS x bits floats
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,29 +170,35 @@ def predict(docs: DataFrame, model: Model, text: str = "text", ambiguous_below:
         for batch in batches:
             n = batch.num_rows
             lang, score, lead = np.full(n, UNDETERMINED, object), np.zeros(n), np.zeros(n)
+            distance, slack = np.full(n, np.nan), np.zeros(n)
             for first, end, raw, offsets in blocks(batch.column(text).cast(pa.string())):
                 if not model.languages:
                     break
                 full = np.flatnonzero(np.diff(offsets) > 0)
-                margins = np.zeros((end - first, model.code.shape[1]))
+                margins, grams = np.zeros((end - first, model.code.shape[1])), np.zeros(end - first)
                 for size, gram in _grams(raw):
                     rows = full[offsets[full + 1] - offsets[full] >= size]
                     if not len(rows):
                         continue
+                    grams[rows] += offsets[rows + 1] - offsets[rows] - size + 1
                     took = np.zeros((len(raw) + 1, 1))  # prefix sums, a bit at a time
                     for bit in range(model.code.shape[1]):
                         np.cumsum(model.weights[gram, bit], dtype=np.float64, out=took[1 : len(gram) + 1, 0])
                         margins[rows, bit] += took[offsets[rows + 1] - size + 1, 0] - took[offsets[rows], 0]
                 best, top, gap = decode(model, margins)
+                apart = distances(model, margins, grams, best)
                 for row in full:
                     if _has_letter(raw[offsets[row] : offsets[row + 1]]):
                         lang[first + row], score[first + row], lead[first + row] = model.languages[best[row]], top[row], gap[row]
+                        distance[first + row], slack[first + row] = apart[row], FAR_SHORT / np.sqrt(grams[row])
             out = {name: batch.column(name) for name in batch.schema.names}
             out |= {"lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "ambiguous": pa.array(lead < ambiguous_below)}
+            told = ~np.isnan(distance)
+            out |= {"distance": pa.array(distance, mask=~told), "far": pa.array(told & (distance > FAR + slack))}
             yield pa.record_batch(out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(predicted, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(predicted, f"{fields}, lang_pred string, score double, ambiguous boolean, distance double, far boolean")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -258,6 +258,25 @@ def test_pipeline(spark, small):
     assert lengths.where("n != m").count() == 0
 
 
+def test_pipeline_language_rejects_what_decoding_rejects(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = random.Random(4)
+    clean = {x: " ".join(r.text for r in docs.where(F.col("lang") == x).orderBy("doc_id").limit(12).collect())[:6000] for x in ("en", "fr")}
+    extra = [
+        (10_000, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80))),
+        (10_001, clean["en"][:2500] + " " + clean["fr"][:2500]), (10_002, clean["en"][3000:]), (10_003, clean["en"][:100].rsplit(" ", 1)[0]),
+    ]
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in extra], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(more), small).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()} | {10_002, 10_003}
+
+
+def test_pipeline_without_labels_keeps_texts_with_letters(spark, small):
+    rows = [(1, "some text", None, "s", 9), (2, "12 !", None, "s", 4), (3, None, None, "s", None), (4, "漢字", None, "s", 2)]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, small).collect()} == {1, 4}
+
+
 def test_queries_without_sql():
     missing = set(queries.QUERIES) - set(queries.ORACLE)
     assert missing == {"op4_language_id", "op5_token_output", "op6_secret_scan", "op9_packing", "op10_token_counts"}
