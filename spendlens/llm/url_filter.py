@@ -52,14 +52,42 @@ def node(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), url_host(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its `.` and `..` segments resolved."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    steps = F.aggregate(
+        F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc)
+        .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.concat(acc, F.array(x))),
+    )
+    open_end = F.when(last.isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    return F.concat(F.lit("/"), F.array_join(open_end, "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link's target as an absolute address, seen from the page at url; null where neither has one."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+    own_path = F.when(url_path(url) == "", "/").otherwise(url_path(url))
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(own_path, r"(?s)^(.*/)", 1)
+    full = F.when(path == "", own_path).when(path.startswith("/"), _without_dots(path)).otherwise(_without_dots(F.concat(folder, path)))
+    own_query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    query = F.when((path == "") & ~rest.startswith("?"), F.concat(own_query, rest)).otherwise(rest)
+    inside = F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target)).otherwise(F.concat(site, full, query))
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), target).when(F.instr(url, "://") > 0, inside)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): links from a page to what it calls its canonical address or refreshes to; absolute addresses only."""
+    """(a, b): links from a page to what it calls its canonical address or refreshes to; relative ones start at the page's url."""
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
     refresh = r"(?is)<meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)"
     some = F.col("html").rlike(r"(?i)canonical|http-equiv")  # most pages are done here
     targets = F.flatten(F.array(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in (tag, refresh))))
-    found = pages.where(some).select(node(F.col("url")).alias("a"), F.explode(targets).alias("target"))
-    return found.select("a", node(F.col("target")).alias("b")).where("a is not null and b is not null and a != b")
+    found = pages.where(some).select("url", node(F.col("url")).alias("a"), F.explode(targets).alias("target"))
+    return found.select("a", node(resolved(F.col("url"), F.col("target"))).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:

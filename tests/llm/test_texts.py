@@ -229,6 +229,22 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_resolves_relative_targets(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    forms = [
+        ("https://X.net/a/b?q=1", link.format("//y.com/de/1")), ("https://x.net/1", refresh.format("//y.com/de/2")),
+        ("https://x.com/en/2", link.format("/de/1")), ("https://x.com/a/b/c", link.format("../../de/./1#top")), ("http://x.com", refresh.format("de/1")),
+        ("https://x.com/it/k", refresh.format("../de/x/..")), ("https://x.com/it/", link.format("?p=1")), ("https://x.com/z", link.format("mailto:a@x.com")),
+        ("no address", link.format("/de/1")), ("https://x.com/u", link.format("/de2?u=https://x.com/de/1")),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(forms)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages).collect()}
+    assert [got[i] for i in range(10)] == ["block"] * 6 + ["allow"] * 4
+    ends = {(r.a, r.b) for r in url_filter.page_edges(pages).collect()}
+    assert ends >= {("https://x.com/a/b/c", "https://x.com/de/1"), ("https://x.com/it/k", "https://x.com/de/"), ("https://x.com/it/", "https://x.com/it/?p=1")}
+    assert len(ends) == 8
+
+
 def secret_rows():
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "lambda"]
