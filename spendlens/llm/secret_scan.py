@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from .storage import saved, small, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: A candidate is a run of these characters; shorter ones are no secrets.
+#: A candidate is a run of these characters, or any value that is assigned beside a word that speaks of credentials.
 LEAST = 16
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: Words beside a value that speak of credentials, and path parts that speak of examples.
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)"
+#: What may stand between such a word and its value; a value in quotes is all between them, another ends before closing marks.
+ASSIGNED = KEYWORDS + r"[\w.\-\[\]]*['\"\])]*\s*[=:]+>?\s*"
+VALUE = r"(?:\"([^\"]+)|'([^']+)|([^\s'\"]+?)(?=[.,;)}\]'\"]*$|['\"]))"
 EXAMPLES = r"(?i)(test|example|sample|fixture|mock|doc)"
 #: Words of the dictionary, by how often they stand in the corpus; the list is part of the plan.
 DICTIONARY = 400
@@ -50,15 +53,27 @@ def _share(value: Column, kept: str) -> Column:
     return F.length(F.regexp_replace(value, kept, "")) / F.length(value)
 
 
+def _assigned(before: Column, word: Column) -> Column:
+    """The values in a word that are assigned to a word that speaks of credentials, in the word itself or right before it."""
+    inside = [F.regexp_extract_all(word, F.lit(ASSIGNED + VALUE), F.lit(g)) for g in (2, 3, 4)]
+    opening = F.when(before.rlike(ASSIGNED + "$"), "=").when(before.rlike(KEYWORDS + r"[\w.\-\[\]]*['\"\])]*$") & word.rlike("^[=:]"), "")
+    rest = F.concat(opening, word)  # null where no such word stands before
+    behind = [F.coalesce(F.regexp_extract(rest, "^[=:]+>?" + VALUE, g), F.lit("")) for g in (1, 2, 3)]
+    return F.filter(F.concat(*inside, F.array(*behind)), lambda x: x != "")
+
+
 def findings(docs: DataFrame, words: list[str]) -> DataFrame:
     """A row per candidate in docs (key, doc_id, text, source): word (its place among the words, from 0), value, features."""
     split = F.split("text", SPACES)
     each = docs.select("key", "doc_id", "source", split.alias("ws")).select("key", "doc_id", "source", "ws", F.posexplode("ws").alias("word", "w"))
-    each = each.where((F.length("w") >= LEAST) & F.col("w").rlike(CANDIDATE))
     near = lambda d: F.coalesce(F.get("ws", F.col("word") + d), F.lit(""))
+    signed = F.col("w").rlike("[=:]") | near(-1).rlike("[=:]>?$")
+    each = each.where(((F.length("w") >= LEAST) & F.col("w").rlike(CANDIDATE)) | signed)
+    runs = F.regexp_extract_all("w", F.lit(CANDIDATE), F.lit(0))
+    named = F.when(signed, _assigned(F.concat_ws(" ", near(-2), near(-1)), F.col("w"))).otherwise(F.array().cast("array<string>"))
     each = each.select(
         "key", "doc_id", "source", "word", "w", near(-2).alias("b2"), near(-1).alias("b1"), near(1).alias("a1"),
-        F.explode(F.array_distinct(F.regexp_extract_all("w", F.lit(CANDIDATE), F.lit(0)))).alias("value"),
+        F.explode(F.array_distinct(F.concat(runs, named))).alias("value"),
     )
     v, w = F.col("value"), F.col("w")
     front = F.call_function("substring_index", w, v, F.lit(1))
@@ -144,7 +159,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by `mark`; all columns and rows stay, and n_chars, if there, is counted anew."""
+    """docs with every secret in text replaced by `mark`, a short one only where no letter or digit adjoins it; all columns and rows stay, and n_chars, if there, is counted anew."""
     key, values = unused(docs, "_key"), unused(docs, "_values")
     found = scan_secrets(docs).where("is_secret").groupBy(F.col("key").alias(key))
     longest_first = F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a))
@@ -152,7 +167,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     keyed = docs.withColumn(key, F.xxhash64("doc_id", F.col("text").cast("string")))
     ids = small(found.select(key))
     hit = keyed.join(ids, key, "left_semi").join(found, key)
-    hit = hit.withColumn("text", F.aggregate(values, F.col("text").cast("string"), lambda acc, x: F.replace(acc, x, F.lit(mark))))
+    alone = lambda x: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    literal = F.lit(mark.replace("\\", "\\\\").replace("$", r"\$"))
+    put = lambda acc, x: F.when(F.length(x) >= LEAST, F.replace(acc, x, F.lit(mark))).otherwise(F.regexp_replace(acc, alone(x), literal))
+    hit = hit.withColumn("text", F.aggregate(values, F.col("text").cast("string"), put))
     if "n_chars" in docs.columns:
         hit = hit.withColumn("n_chars", F.char_length("text").cast("long"))
     own = [F.col(f"`{c}`") for c in docs.columns]

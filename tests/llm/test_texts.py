@@ -292,3 +292,20 @@ def test_secret_scan_with_nothing_to_learn(spark):
     assert [(r.doc_id, r.is_secret) for r in secret_scan.scan_secrets(only).collect()] == [(1, True), (1, True)]
     assert secret_scan.scan_secrets(only.limit(0)).count() == 0
     assert secret_scan.redact(only.limit(0)).count() == 0
+
+
+def test_short_and_punctuated_passwords_are_found_and_redacted(spark):
+    planted = [
+        ('password = "hunter2-prod"', "hunter2-prod"), ("pwd=Tr0ub4dor&3", "Tr0ub4dor&3"), ("api_key: k9.x!2$,", "k9.x!2$"),
+        ("secret ='p4$$w0rd'", "p4$$w0rd"), ('{"auth_token":"a1.b2!c3"}', "a1.b2!c3"),
+    ]
+    rows = [(i, f"alpha beta {planted[i % 5][0]} gamma x{planted[i % 5][1]} delta") for i in range(60)]
+    rows += [(100 + i, f"alpha {''.join(('omega', 'delta', 'gamma')[(i >> k) % 3] for k in range(5))} beta gamma = x1 delta") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.value) for r in secret_scan.scan_secrets(docs).where("is_secret").collect()}
+    assert found >= {(i, planted[i % 5][1]) for i in range(60)} and all(d < 100 for d, _ in found)
+    clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    for i, text in rows:
+        form, value = planted[i % 5]
+        want = text.replace(form, form.replace(value, "[SECRET]")) if i < 100 else text
+        assert clean[i] == want
