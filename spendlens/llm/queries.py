@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontamination import decontaminate
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_groups
+from .lexical_search import ranked_search
 from .language_id import held_out, predict, train
 from .packing import packed_sequences
 from .secret_scan import scan_secrets
@@ -78,18 +79,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents").select("text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = ranked_search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_token_output,
         op6_secret_scan, op7_url_filter, op8_jaccard_join, op9_packing, op10_token_counts,
+        op11_lexical_search,
     )
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS11 = rf"coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
 ORACLE: dict[str, str] = {
+    "op11_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS11} AS w FROM documents),
+stats AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w)) AS n_terms FROM d),
+dt AS (SELECT doc_id, t, count(*) AS tf FROM d, unnest(w) AS u(t) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM dt GROUP BY t),
+q AS (SELECT item_id, t, count(*) AS q_count FROM (SELECT item_id, {_TERMS11} AS w FROM benchmark), unnest(w) AS u(t) GROUP BY ALL),
+m AS (SELECT doc_id, 25 + (75 * len(w)::BIGINT * n_docs) // n_terms AS m FROM d, stats),
+w AS (SELECT t, floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * df + 1)))::BIGINT AS w FROM df, stats),
+s AS (
+  SELECT item_id, dt.doc_id, sum(q_count * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS score
+  FROM q JOIN dt USING (t) JOIN w USING (t) JOIN m ON m.doc_id = dt.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score FROM r WHERE rank <= 10""",
     "op1_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
