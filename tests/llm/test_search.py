@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from spendlens.llm import lexical_search
+from spendlens.llm import lexical_search, resampling
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -70,3 +74,49 @@ def test_ranked_search_empty_tables(spark):
     assert lexical_search.ranked_search(docs, spark.createDataFrame([], ITEMS)).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, "")], DOCS)
     assert lexical_search.ranked_search(nulls, spark.createDataFrame([(1, "a")], ITEMS)).count() == 0
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def resample_wanted(docs, target, percent=10):
+    def words(text):
+        return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    def hist(texts):
+        return Counter(zlib.crc32(w.encode()) % 10000 for t in texts for w in words(t))
+
+    s, t = hist(x for _, x in docs), hist(target)
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * (big_s + 10000) / ((s[b] + 1) * (big_t + 10000)))) for b in range(10000)}
+    rows = []
+    for d, text in docs:
+        w = words(text)
+        weight = sum(gain[zlib.crc32(x.encode()) % 10000] for x in w)
+        score = None
+        if d is not None:
+            h = int(hashlib.sha256(f"2024:{d}".encode()).hexdigest()[:8], 16)
+            score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append([d, len(w), weight, score, None])
+    eligible = sorted((r for r in rows if r[0] is not None and r[1] >= 20), key=lambda r: (-r[3], r[0]))
+    for rank, r in enumerate(eligible[: len(eligible) * percent // 100], 1):
+        r[4] = rank
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_resampling_matches_brute_force(spark):
+    rows, items = made_texts(seed=9, n=120)
+    rows += [(300, "Ünïcode wörds ÄÖ 漢字 " * 30), (301, "a" * 100000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("ROW", F.lit(1))
+    got = resampling.resample(docs, spark.createDataFrame(items, ITEMS).select("text"))
+    got = sorted((tuple(r) for r in got.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=repr)
+    assert got == resample_wanted(rows, [t for _, t in items])
+
+
+def test_resampling_empty_and_collisions(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert resampling.resample(empty, spark.createDataFrame([], ITEMS).select("text")).count() == 0
+    low = np.frombuffer(b"ab ab cd", np.uint8)
+    table = resampling.InternTable(low, np.array([0, 3, 6]), np.array([2, 5, 8]))
+    table.key[:] = 0  # a forced collision: keys equal, bytes differ, so cd takes a slot of its own
+    assert table.slot[0] == table.slot[1] and table.count[table.slot[0]] == 2 and table.count[table.slot[2]] == 1
