@@ -12,6 +12,7 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_groups
 from .lexical_search import ranked_search
 from .resampling import resample
+from .suffix_dedup import duplicate_bytes
 from .language_id import held_out, predict, train
 from .packing import packed_sequences
 from .secret_scan import scan_secrets
@@ -86,6 +87,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "benchmark").select("text"))
@@ -96,7 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_embedding_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_token_output,
         op6_secret_scan, op7_url_filter, op8_jaccard_join, op9_packing, op10_token_counts,
-        op11_lexical_search, op13_resampling,
+        op11_lexical_search, op12_suffix_dedup, op13_resampling,
     )
 }
 

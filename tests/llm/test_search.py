@@ -13,7 +13,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from spendlens.llm import lexical_search, resampling
+from spendlens.llm import lexical_search, resampling, suffix_dedup
 
 DOCS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -120,3 +120,55 @@ def test_resampling_empty_and_collisions(spark):
     table = resampling.InternTable(low, np.array([0, 3, 6]), np.array([2, 5, 8]))
     table.key[:] = 0  # a forced collision: keys equal, bytes differ, so cd takes a slot of its own
     assert table.slot[0] == table.slot[1] and table.count[table.slot[0]] == 2 and table.count[table.slot[2]] == 1
+
+
+def bytes_wanted(rows, length):
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(data[i : i + length] for _, data in texts for i in range(len(data) - length + 1))
+    out = []
+    for d, data in texts:
+        gone = np.zeros(len(data), bool)
+        for i in range(len(data) - length + 1):
+            if seen[data[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (len(gone) > 0 and gone[0]))
+        out.append((d, len(data), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def byte_texts(seed=11, n=50):
+    rng = random.Random(seed)
+    alphabet = "ab cé\n漢"
+    passage = "".join(rng.choice(alphabet) for _ in range(260))
+    rows = []
+    for i in range(n):
+        text = "".join(rng.choice("abcdefghij klmnop") for _ in range(rng.choice((10, 150, 400, 900))))
+        if rng.random() < 0.4:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + passage[: rng.choice((150, 199, 200, 201, 260))] + text[at:]
+        if rows and rng.random() < 0.2:
+            text = rng.choice(rows)[1] or ""
+            if text and rng.random() < 0.5:
+                k = rng.randrange(len(text))
+                text = text[:k] + "Z" + text[k + 1 :]
+        rows.append((i, text))
+    rows += [(100, None), (101, ""), (102, "x" * 1000), (103, "ab" * 300 + "c"), (None, "q" * 10), (5, rows[5][1])]
+    return rows
+
+
+def test_suffix_sort_orders_like_bytes():
+    rng = np.random.default_rng(4)
+    buf = rng.integers(97, 100, 3000).astype(np.uint8)
+    starts = rng.choice(2800, 500, replace=False)
+    group = np.zeros(len(buf), np.int64)
+    order = suffix_dedup.suffix_sort(buf, starts, group, 20)
+    keys = [buf[s : s + 20].tobytes() for s in order]
+    assert keys == sorted(keys)
+
+
+def test_suffix_dedup_matches_brute_force(spark):
+    rows = byte_texts()
+    docs = spark.createDataFrame(rows, DOCS).withColumn("TEXT_", F.lit("x"))
+    got = suffix_dedup.duplicate_bytes(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == bytes_wanted(rows, 200)
+    assert suffix_dedup.duplicate_bytes(spark.createDataFrame([], DOCS)).count() == 0
