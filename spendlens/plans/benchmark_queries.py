@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import benchmark as ops
+from ..operators.percentiles import benchmark_percentiles
 from . import testbed as tb
 from .registry import query, rounded
 
@@ -150,3 +151,39 @@ SELECT request_id, scenario, budget, cpc, cr, budget / cpc AS clicks, budget * c
   budget / cpc < 300 OR budget * cr / cpc < 15 AS low_volume, budget >= 500 AND budget < 1000 AS budget_constrained FROM opt""")
 def _(spark, sf):
     return ops.scenarios(diagnosed(spark, sf), GRID)
+
+
+@query("benchmark_percentiles", f"""{tb.with_tables("req")},
+v AS (SELECT category, subcategory, CASE WHEN leads > 0 THEN budget / leads END AS cpl,
+    CASE WHEN clicks > 0 THEN budget / clicks END AS cpc, CASE WHEN impressions > 0 THEN clicks / impressions END AS ctr,
+    round(budget * 100) AS budget FROM req),
+g AS (SELECT category, subcategory, count(*) AS n, list_sort(list(cpl) FILTER (cpl IS NOT NULL)) AS s_cpl, avg(cpl) AS a_cpl, list_sort(list(cpc) FILTER (cpc IS NOT NULL)) AS s_cpc, avg(cpc) AS a_cpc, list_sort(list(ctr) FILTER (ctr IS NOT NULL)) AS s_ctr, avg(ctr) AS a_ctr, list_sort(list(budget) FILTER (budget IS NOT NULL)) AS s_budget, avg(budget) AS a_budget FROM v GROUP BY ALL)
+SELECT category, subcategory,
+  round_even((CASE WHEN len(s_cpl) = 0 THEN NULL WHEN floor((len(s_cpl) - 1) * 0.5::DOUBLE) = ceil((len(s_cpl) - 1) * 0.5::DOUBLE) THEN s_cpl[floor((len(s_cpl) - 1) * 0.5::DOUBLE)::BIGINT + 1] ELSE s_cpl[floor((len(s_cpl) - 1) * 0.5::DOUBLE)::BIGINT + 1] + (s_cpl[ceil((len(s_cpl) - 1) * 0.5::DOUBLE)::BIGINT + 1] - s_cpl[floor((len(s_cpl) - 1) * 0.5::DOUBLE)::BIGINT + 1]) * ((len(s_cpl) - 1) * 0.5::DOUBLE - floor((len(s_cpl) - 1) * 0.5::DOUBLE)) END) * 100, 0) / 100 AS cpl_median,
+  round_even((CASE WHEN len(s_cpl) = 0 THEN NULL WHEN floor((len(s_cpl) - 1) * 0.1::DOUBLE) = ceil((len(s_cpl) - 1) * 0.1::DOUBLE) THEN s_cpl[floor((len(s_cpl) - 1) * 0.1::DOUBLE)::BIGINT + 1] ELSE s_cpl[floor((len(s_cpl) - 1) * 0.1::DOUBLE)::BIGINT + 1] + (s_cpl[ceil((len(s_cpl) - 1) * 0.1::DOUBLE)::BIGINT + 1] - s_cpl[floor((len(s_cpl) - 1) * 0.1::DOUBLE)::BIGINT + 1]) * ((len(s_cpl) - 1) * 0.1::DOUBLE - floor((len(s_cpl) - 1) * 0.1::DOUBLE)) END) * 100, 0) / 100 AS cpl_top10,
+  round_even((CASE WHEN len(s_cpl) = 0 THEN NULL WHEN floor((len(s_cpl) - 1) * 0.25::DOUBLE) = ceil((len(s_cpl) - 1) * 0.25::DOUBLE) THEN s_cpl[floor((len(s_cpl) - 1) * 0.25::DOUBLE)::BIGINT + 1] ELSE s_cpl[floor((len(s_cpl) - 1) * 0.25::DOUBLE)::BIGINT + 1] + (s_cpl[ceil((len(s_cpl) - 1) * 0.25::DOUBLE)::BIGINT + 1] - s_cpl[floor((len(s_cpl) - 1) * 0.25::DOUBLE)::BIGINT + 1]) * ((len(s_cpl) - 1) * 0.25::DOUBLE - floor((len(s_cpl) - 1) * 0.25::DOUBLE)) END) * 100, 0) / 100 AS cpl_top25,
+  round_even(a_cpl * 100, 0) / 100 AS cpl_avg,
+  round_even((CASE WHEN len(s_cpl) = 0 THEN NULL WHEN floor((len(s_cpl) - 1) * 0.75::DOUBLE) = ceil((len(s_cpl) - 1) * 0.75::DOUBLE) THEN s_cpl[floor((len(s_cpl) - 1) * 0.75::DOUBLE)::BIGINT + 1] ELSE s_cpl[floor((len(s_cpl) - 1) * 0.75::DOUBLE)::BIGINT + 1] + (s_cpl[ceil((len(s_cpl) - 1) * 0.75::DOUBLE)::BIGINT + 1] - s_cpl[floor((len(s_cpl) - 1) * 0.75::DOUBLE)::BIGINT + 1]) * ((len(s_cpl) - 1) * 0.75::DOUBLE - floor((len(s_cpl) - 1) * 0.75::DOUBLE)) END) * 100, 0) / 100 AS cpl_bot25,
+  round_even((CASE WHEN len(s_cpl) = 0 THEN NULL WHEN floor((len(s_cpl) - 1) * 0.9::DOUBLE) = ceil((len(s_cpl) - 1) * 0.9::DOUBLE) THEN s_cpl[floor((len(s_cpl) - 1) * 0.9::DOUBLE)::BIGINT + 1] ELSE s_cpl[floor((len(s_cpl) - 1) * 0.9::DOUBLE)::BIGINT + 1] + (s_cpl[ceil((len(s_cpl) - 1) * 0.9::DOUBLE)::BIGINT + 1] - s_cpl[floor((len(s_cpl) - 1) * 0.9::DOUBLE)::BIGINT + 1]) * ((len(s_cpl) - 1) * 0.9::DOUBLE - floor((len(s_cpl) - 1) * 0.9::DOUBLE)) END) * 100, 0) / 100 AS cpl_bot10,
+  round_even((CASE WHEN len(s_cpc) = 0 THEN NULL WHEN floor((len(s_cpc) - 1) * 0.5::DOUBLE) = ceil((len(s_cpc) - 1) * 0.5::DOUBLE) THEN s_cpc[floor((len(s_cpc) - 1) * 0.5::DOUBLE)::BIGINT + 1] ELSE s_cpc[floor((len(s_cpc) - 1) * 0.5::DOUBLE)::BIGINT + 1] + (s_cpc[ceil((len(s_cpc) - 1) * 0.5::DOUBLE)::BIGINT + 1] - s_cpc[floor((len(s_cpc) - 1) * 0.5::DOUBLE)::BIGINT + 1]) * ((len(s_cpc) - 1) * 0.5::DOUBLE - floor((len(s_cpc) - 1) * 0.5::DOUBLE)) END) * 100, 0) / 100 AS cpc_median,
+  round_even((CASE WHEN len(s_cpc) = 0 THEN NULL WHEN floor((len(s_cpc) - 1) * 0.1::DOUBLE) = ceil((len(s_cpc) - 1) * 0.1::DOUBLE) THEN s_cpc[floor((len(s_cpc) - 1) * 0.1::DOUBLE)::BIGINT + 1] ELSE s_cpc[floor((len(s_cpc) - 1) * 0.1::DOUBLE)::BIGINT + 1] + (s_cpc[ceil((len(s_cpc) - 1) * 0.1::DOUBLE)::BIGINT + 1] - s_cpc[floor((len(s_cpc) - 1) * 0.1::DOUBLE)::BIGINT + 1]) * ((len(s_cpc) - 1) * 0.1::DOUBLE - floor((len(s_cpc) - 1) * 0.1::DOUBLE)) END) * 100, 0) / 100 AS cpc_top10,
+  round_even((CASE WHEN len(s_cpc) = 0 THEN NULL WHEN floor((len(s_cpc) - 1) * 0.25::DOUBLE) = ceil((len(s_cpc) - 1) * 0.25::DOUBLE) THEN s_cpc[floor((len(s_cpc) - 1) * 0.25::DOUBLE)::BIGINT + 1] ELSE s_cpc[floor((len(s_cpc) - 1) * 0.25::DOUBLE)::BIGINT + 1] + (s_cpc[ceil((len(s_cpc) - 1) * 0.25::DOUBLE)::BIGINT + 1] - s_cpc[floor((len(s_cpc) - 1) * 0.25::DOUBLE)::BIGINT + 1]) * ((len(s_cpc) - 1) * 0.25::DOUBLE - floor((len(s_cpc) - 1) * 0.25::DOUBLE)) END) * 100, 0) / 100 AS cpc_top25,
+  round_even(a_cpc * 100, 0) / 100 AS cpc_avg,
+  round_even((CASE WHEN len(s_cpc) = 0 THEN NULL WHEN floor((len(s_cpc) - 1) * 0.75::DOUBLE) = ceil((len(s_cpc) - 1) * 0.75::DOUBLE) THEN s_cpc[floor((len(s_cpc) - 1) * 0.75::DOUBLE)::BIGINT + 1] ELSE s_cpc[floor((len(s_cpc) - 1) * 0.75::DOUBLE)::BIGINT + 1] + (s_cpc[ceil((len(s_cpc) - 1) * 0.75::DOUBLE)::BIGINT + 1] - s_cpc[floor((len(s_cpc) - 1) * 0.75::DOUBLE)::BIGINT + 1]) * ((len(s_cpc) - 1) * 0.75::DOUBLE - floor((len(s_cpc) - 1) * 0.75::DOUBLE)) END) * 100, 0) / 100 AS cpc_bot25,
+  round_even((CASE WHEN len(s_cpc) = 0 THEN NULL WHEN floor((len(s_cpc) - 1) * 0.9::DOUBLE) = ceil((len(s_cpc) - 1) * 0.9::DOUBLE) THEN s_cpc[floor((len(s_cpc) - 1) * 0.9::DOUBLE)::BIGINT + 1] ELSE s_cpc[floor((len(s_cpc) - 1) * 0.9::DOUBLE)::BIGINT + 1] + (s_cpc[ceil((len(s_cpc) - 1) * 0.9::DOUBLE)::BIGINT + 1] - s_cpc[floor((len(s_cpc) - 1) * 0.9::DOUBLE)::BIGINT + 1]) * ((len(s_cpc) - 1) * 0.9::DOUBLE - floor((len(s_cpc) - 1) * 0.9::DOUBLE)) END) * 100, 0) / 100 AS cpc_bot10,
+  round_even((CASE WHEN len(s_ctr) = 0 THEN NULL WHEN floor((len(s_ctr) - 1) * 0.5::DOUBLE) = ceil((len(s_ctr) - 1) * 0.5::DOUBLE) THEN s_ctr[floor((len(s_ctr) - 1) * 0.5::DOUBLE)::BIGINT + 1] ELSE s_ctr[floor((len(s_ctr) - 1) * 0.5::DOUBLE)::BIGINT + 1] + (s_ctr[ceil((len(s_ctr) - 1) * 0.5::DOUBLE)::BIGINT + 1] - s_ctr[floor((len(s_ctr) - 1) * 0.5::DOUBLE)::BIGINT + 1]) * ((len(s_ctr) - 1) * 0.5::DOUBLE - floor((len(s_ctr) - 1) * 0.5::DOUBLE)) END) * 1000000, 0) / 1000000 AS ctr_median,
+  round_even((CASE WHEN len(s_ctr) = 0 THEN NULL WHEN floor((len(s_ctr) - 1) * 0.9::DOUBLE) = ceil((len(s_ctr) - 1) * 0.9::DOUBLE) THEN s_ctr[floor((len(s_ctr) - 1) * 0.9::DOUBLE)::BIGINT + 1] ELSE s_ctr[floor((len(s_ctr) - 1) * 0.9::DOUBLE)::BIGINT + 1] + (s_ctr[ceil((len(s_ctr) - 1) * 0.9::DOUBLE)::BIGINT + 1] - s_ctr[floor((len(s_ctr) - 1) * 0.9::DOUBLE)::BIGINT + 1]) * ((len(s_ctr) - 1) * 0.9::DOUBLE - floor((len(s_ctr) - 1) * 0.9::DOUBLE)) END) * 1000000, 0) / 1000000 AS ctr_top10,
+  round_even((CASE WHEN len(s_ctr) = 0 THEN NULL WHEN floor((len(s_ctr) - 1) * 0.75::DOUBLE) = ceil((len(s_ctr) - 1) * 0.75::DOUBLE) THEN s_ctr[floor((len(s_ctr) - 1) * 0.75::DOUBLE)::BIGINT + 1] ELSE s_ctr[floor((len(s_ctr) - 1) * 0.75::DOUBLE)::BIGINT + 1] + (s_ctr[ceil((len(s_ctr) - 1) * 0.75::DOUBLE)::BIGINT + 1] - s_ctr[floor((len(s_ctr) - 1) * 0.75::DOUBLE)::BIGINT + 1]) * ((len(s_ctr) - 1) * 0.75::DOUBLE - floor((len(s_ctr) - 1) * 0.75::DOUBLE)) END) * 1000000, 0) / 1000000 AS ctr_top25,
+  round_even(a_ctr * 1000000, 0) / 1000000 AS ctr_avg,
+  round_even((CASE WHEN len(s_ctr) = 0 THEN NULL WHEN floor((len(s_ctr) - 1) * 0.25::DOUBLE) = ceil((len(s_ctr) - 1) * 0.25::DOUBLE) THEN s_ctr[floor((len(s_ctr) - 1) * 0.25::DOUBLE)::BIGINT + 1] ELSE s_ctr[floor((len(s_ctr) - 1) * 0.25::DOUBLE)::BIGINT + 1] + (s_ctr[ceil((len(s_ctr) - 1) * 0.25::DOUBLE)::BIGINT + 1] - s_ctr[floor((len(s_ctr) - 1) * 0.25::DOUBLE)::BIGINT + 1]) * ((len(s_ctr) - 1) * 0.25::DOUBLE - floor((len(s_ctr) - 1) * 0.25::DOUBLE)) END) * 1000000, 0) / 1000000 AS ctr_bot25,
+  round_even((CASE WHEN len(s_ctr) = 0 THEN NULL WHEN floor((len(s_ctr) - 1) * 0.1::DOUBLE) = ceil((len(s_ctr) - 1) * 0.1::DOUBLE) THEN s_ctr[floor((len(s_ctr) - 1) * 0.1::DOUBLE)::BIGINT + 1] ELSE s_ctr[floor((len(s_ctr) - 1) * 0.1::DOUBLE)::BIGINT + 1] + (s_ctr[ceil((len(s_ctr) - 1) * 0.1::DOUBLE)::BIGINT + 1] - s_ctr[floor((len(s_ctr) - 1) * 0.1::DOUBLE)::BIGINT + 1]) * ((len(s_ctr) - 1) * 0.1::DOUBLE - floor((len(s_ctr) - 1) * 0.1::DOUBLE)) END) * 1000000, 0) / 1000000 AS ctr_bot10,
+  round_even((CASE WHEN len(s_budget) = 0 THEN NULL WHEN floor((len(s_budget) - 1) * 0.5::DOUBLE) = ceil((len(s_budget) - 1) * 0.5::DOUBLE) THEN s_budget[floor((len(s_budget) - 1) * 0.5::DOUBLE)::BIGINT + 1] ELSE s_budget[floor((len(s_budget) - 1) * 0.5::DOUBLE)::BIGINT + 1] + (s_budget[ceil((len(s_budget) - 1) * 0.5::DOUBLE)::BIGINT + 1] - s_budget[floor((len(s_budget) - 1) * 0.5::DOUBLE)::BIGINT + 1]) * ((len(s_budget) - 1) * 0.5::DOUBLE - floor((len(s_budget) - 1) * 0.5::DOUBLE)) END), 0) / 100 AS budget_median,
+  round_even((CASE WHEN len(s_budget) = 0 THEN NULL WHEN floor((len(s_budget) - 1) * 0.1::DOUBLE) = ceil((len(s_budget) - 1) * 0.1::DOUBLE) THEN s_budget[floor((len(s_budget) - 1) * 0.1::DOUBLE)::BIGINT + 1] ELSE s_budget[floor((len(s_budget) - 1) * 0.1::DOUBLE)::BIGINT + 1] + (s_budget[ceil((len(s_budget) - 1) * 0.1::DOUBLE)::BIGINT + 1] - s_budget[floor((len(s_budget) - 1) * 0.1::DOUBLE)::BIGINT + 1]) * ((len(s_budget) - 1) * 0.1::DOUBLE - floor((len(s_budget) - 1) * 0.1::DOUBLE)) END), 0) / 100 AS budget_p10_bottom,
+  round_even((CASE WHEN len(s_budget) = 0 THEN NULL WHEN floor((len(s_budget) - 1) * 0.25::DOUBLE) = ceil((len(s_budget) - 1) * 0.25::DOUBLE) THEN s_budget[floor((len(s_budget) - 1) * 0.25::DOUBLE)::BIGINT + 1] ELSE s_budget[floor((len(s_budget) - 1) * 0.25::DOUBLE)::BIGINT + 1] + (s_budget[ceil((len(s_budget) - 1) * 0.25::DOUBLE)::BIGINT + 1] - s_budget[floor((len(s_budget) - 1) * 0.25::DOUBLE)::BIGINT + 1]) * ((len(s_budget) - 1) * 0.25::DOUBLE - floor((len(s_budget) - 1) * 0.25::DOUBLE)) END), 0) / 100 AS budget_p25_bottom,
+  round_even(a_budget, 0) / 100 AS budget_avg,
+  round_even((CASE WHEN len(s_budget) = 0 THEN NULL WHEN floor((len(s_budget) - 1) * 0.75::DOUBLE) = ceil((len(s_budget) - 1) * 0.75::DOUBLE) THEN s_budget[floor((len(s_budget) - 1) * 0.75::DOUBLE)::BIGINT + 1] ELSE s_budget[floor((len(s_budget) - 1) * 0.75::DOUBLE)::BIGINT + 1] + (s_budget[ceil((len(s_budget) - 1) * 0.75::DOUBLE)::BIGINT + 1] - s_budget[floor((len(s_budget) - 1) * 0.75::DOUBLE)::BIGINT + 1]) * ((len(s_budget) - 1) * 0.75::DOUBLE - floor((len(s_budget) - 1) * 0.75::DOUBLE)) END), 0) / 100 AS budget_p25_top,
+  round_even((CASE WHEN len(s_budget) = 0 THEN NULL WHEN floor((len(s_budget) - 1) * 0.9::DOUBLE) = ceil((len(s_budget) - 1) * 0.9::DOUBLE) THEN s_budget[floor((len(s_budget) - 1) * 0.9::DOUBLE)::BIGINT + 1] ELSE s_budget[floor((len(s_budget) - 1) * 0.9::DOUBLE)::BIGINT + 1] + (s_budget[ceil((len(s_budget) - 1) * 0.9::DOUBLE)::BIGINT + 1] - s_budget[floor((len(s_budget) - 1) * 0.9::DOUBLE)::BIGINT + 1]) * ((len(s_budget) - 1) * 0.9::DOUBLE - floor((len(s_budget) - 1) * 0.9::DOUBLE)) END), 0) / 100 AS budget_p10_top,
+  n::INTEGER AS sample_size, true AS exact
+FROM g""")
+def _(spark, sf):
+    return benchmark_percentiles(tb.diagnosis_requests(spark, sf))
