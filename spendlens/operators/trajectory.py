@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_even
 from ..shared import written
 from .joins import top_per_key
+from .keyword_index import keyword_matches, name_index
 
 MONTHS = 12
 
@@ -39,39 +40,19 @@ def _by_keyword(keys: DataFrame, history: DataFrame) -> DataFrame:
     """Months of a business whose campaign names contain a keyword, for each (partner_name, keyword).
 
     ``history`` is first cut to the twelve newest months per business and campaign name, which cannot lose a
-    month that belongs to the twelve of a keyword, for businesses that need it, and written once for all steps. Names and keywords meet on a shared three-letter piece
-    instead of every name with every keyword; the pattern test then decides. Keywords holding a wildcard
-    have no fixed piece and are compared within their business.
+    month that belongs to the twelve of a keyword, for businesses that need it, and written once for all steps. Names
+    and keywords meet through a q-gram index of the names (``keyword_index``): candidates from a keyword's rarest
+    piece, kept if they hold all its pieces, then the pattern test; no step joins a keyword with all names of its
+    business.
     """
     order = [F.desc_nulls_first("report_month"), F.asc("campaign_id")]
     wanted = keys.select(F.col("partner_name").alias("business_name")).distinct()
     by_name = top_per_key(history.join(wanted, "business_name", "left_semi"), ["business_name", "campaign_name"], order, MONTHS, "_pos")
     by_name = written(by_name.drop("_pos"), "history-by-name")
-    keys = keys.withColumn("_piece", F.lower(F.substring("keyword", 1, 3)))
-    wild = F.col("_piece").rlike(r"[%_\\]")
     empty = F.col("keyword") == ""
-
-    names = by_name.select("business_name", "campaign_name").distinct()
-    low = F.lower("campaign_name")
-    pieces = F.array_distinct(
-        F.transform(
-            F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.substring(low, i, F.lit(3)),
-        )
-    )
-    indexed = names.select("business_name", "campaign_name", F.explode(pieces).alias("_piece"))
-    matches = F.expr("campaign_name ILIKE concat('%', keyword, '%')")
-    same_business = F.col("partner_name") == F.col("business_name")
-    fixed = (
-        keys.where(~wild & ~empty)
-        .join(indexed, same_business & (keys["_piece"] == indexed["_piece"]))
-        .where(matches)
-        .select("partner_name", "keyword", "campaign_name")
-    )
-    loose = (
-        keys.where(wild & ~empty).join(names, same_business).where(matches).select("partner_name", "keyword", "campaign_name")
-    )
-    named = fixed.unionByName(loose)
+    index = name_index(by_name, "business_name", "campaign_name")
+    named = keyword_matches(keys.where(~empty).select(F.col("partner_name").alias("owner"), "keyword"), index)
+    named = named.select(F.col("owner").alias("partner_name"), "keyword", F.col("name").alias("campaign_name"))
     months = by_name.withColumnRenamed("business_name", "partner_name")
     found = named.join(months, ["partner_name", "campaign_name"])
     whole = keys.where(empty).select("partner_name", "keyword").join(
