@@ -9,7 +9,8 @@ The sort is split so that no task sees more than its share. Every 200-byte windo
 32-byte string of least hash inside it (the leftmost on ties), and equal windows have equal anchors at the same
 place. Anchors are counted over the whole table; only those that occur twice or more bring the bytes around them (the
 windows they anchor) to one group, contexts of identical bytes are merged first, and each group's suffixes are sorted
-on their own. Windows in a context that occurs twice are duplicates at once.
+on their own. Windows in a context that occurs twice are duplicates at once; of the others only those whose window
+hash recurs in the group enter the sort (equal windows have equal hashes), and the sort with its byte check decides.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ LENGTH = 200
 #: Bytes of an anchor; a window holds LENGTH - ANCHOR + 1 of them.
 ANCHOR = 32
 #: Rows of contexts sorted at a time in a task (a group is never cut).
-SORT_ROWS = 20_000
+SORT_ROWS = 5_000
 _CHUNK = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
 
@@ -190,8 +191,20 @@ def _judge(h: np.ndarray, ctx: list[bytes], mult: np.ndarray, length: int = LENG
     owner = np.repeat(np.arange(len(ctx)), count)
     suffix = starts[owner] + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
     dup = mult[owner] >= 2
-    sort = distinct[owner] >= 2
-    if sort.any():
+    sort = np.flatnonzero(distinct[owner] >= 2)
+    if len(sort):
+        # Only suffixes whose window hash another window of the group shares, some of them in a context seen once,
+        # can gain from the sort: equal windows have equal hashes, so the others are settled already.
+        prefix = _prefix(buf)
+        wh, g = _hash(prefix, suffix[sort], length), group[owner[sort]]
+        once = mult[owner[sort]] < 2
+        o = np.lexsort((wh, g))
+        new = np.concatenate(([True], (g[o][1:] != g[o][:-1]) | (wh[o][1:] != wh[o][:-1])))
+        cls = np.cumsum(new) - 1
+        weight = np.bincount(cls, weights=np.where(once[o], 1, 2))
+        seen_once = np.bincount(cls, weights=once[o])
+        sort = sort[o][(weight[cls] >= 2) & (seen_once[cls] > 0)]
+    if len(sort):
         byte_group = np.full(len(buf), -1, np.int64)
         byte_group[suffix[sort]] = group[owner[sort]]
         order = suffix_sort(buf, suffix[sort], byte_group, length)
