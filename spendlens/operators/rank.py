@@ -39,14 +39,15 @@ def average_percent_rank(
     the total of the ranges before it is the exact rank. The cuts only balance the work: being constants of
     the plan, they put equal values into the same range whenever a task is recomputed.
 
-    df is computed once and written to the shared folder; cuts, counts and the result all read that table, so a value has
-    the same bits everywhere. This write and the quantiles over its one column are the only jobs that run at once.
+    Only the value column is written to the shared folder (one narrow table); cuts and counts read it, and the ranks
+    per distinct value are joined back to df by value. The value is a deterministic expression, so df computes the same
+    bits again. This write and the quantiles over its one column are the only jobs that run at once.
     """
     spark = df.sparkSession
-    df = written(df, "to-rank")
+    values = written(df.select(value), "to-rank")
     parts = parts or max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts, hot = _quantiles(df, value, parts)
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    cuts, hot = _quantiles(values, value, parts)
+    counts = values.groupBy(value).agg(F.count("*").alias("_n"))
     if cuts:
         splits = [float("-inf"), *cuts, float("inf")]
         counts = Bucketizer(splits=splits, inputCol=value, outputCol="_range").transform(counts)
