@@ -122,3 +122,13 @@ def snapshot_entry(table: DataFrame, file_name: str, snapshot_date, file_size: i
         F.count("*").alias("record_count"),
         F.current_timestamp().alias("last_modified"),
     )
+
+
+def create_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Drop and create the catalog table ``name`` from the frame's own schema (columns and types as inferred by the
+    reader), with its rows; at ``path`` if given (an external table), else in the warehouse. Returns the new table."""
+    writer = df.write.mode("overwrite").format("parquet")
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)

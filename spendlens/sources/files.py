@@ -71,6 +71,16 @@ def latest_file(files: DataFrame, by: str = "mtime") -> DataFrame:
     return files.agg(F.max_by(F.struct(*files.columns), order).alias("f")).where("f is not null").select("f.*")
 
 
+def distinct_files(files: DataFrame, by: str = "modificationTime") -> DataFrame:
+    """One row per file name: of files with the same name in several folders, the newest by ``by`` (a timestamp or
+    a number), then the path that sorts first, so the choice does not depend on listing order. Rows without a name
+    are each kept. One aggregation, no window: a name held by many files is reduced before the shuffle."""
+    age = F.col(by).cast("timestamp") if dict(files.dtypes)[by] == "timestamp" else F.col(by)
+    first = F.min_by(F.struct(*files.columns), F.struct((F.lit(0) - age.cast("double")).alias("a"), F.col("path")))
+    named = files.where(F.col("file_name").isNotNull()).groupBy("file_name").agg(first.alias("f")).select("f.*")
+    return named.unionByName(files.where(F.col("file_name").isNull()))
+
+
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """SHA-256 of each file. A file is one value here, so Spark's binary reader refuses files beyond 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
