@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import optional
 from ..functions.numeric import filled, half_up, number, truthy
+from ..shared import written
 from .joins import newest_per_key
 
 FACETS = {"partners": "partner_name", "ams": "am", "optimizers": "optimizer", "gms": "gm"}
@@ -82,6 +83,33 @@ def account_page(book: DataFrame, page: int, size: int = 50) -> DataFrame:
     return by_priority(book).offset((page - 1) * size).limit(size)
 
 
+def page_directory(book: DataFrame) -> DataFrame:
+    """The account list in its order, written once to the shared folder, each row with its sort range (``_part``) and
+    its place inside it (``_at``). A range is one file, so a later page reads only the files of its ranges (their
+    statistics on ``_part`` prune the rest) whatever its depth; no task ever gathers the rows before the page."""
+    ordered = by_priority(book)
+    numbered = ordered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    return written(numbered, "account-order")
+
+
+def directory_page(directory: DataFrame, page: int, size: int = 50) -> DataFrame:
+    """Page ``page`` (from 1) of a page_directory: counts per range (one row each) locate the ranges that hold places
+    (page - 1) * size to page * size - 1; only their rows are read and numbered. Columns of the book plus position."""
+    first, end = (page - 1) * size, page * size
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = directory.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranges = ranges.where((F.col("_offset") < end) & (F.col("_offset") + F.col("_n") > first))
+    wanted = [(r["_part"], r["_offset"]) for r in ranges.collect()]  # the few ranges that hold the page
+    if not wanted:
+        return directory.where(F.lit(False)).drop("_part", "_at").withColumn("position", F.lit(0).cast("long"))
+    offsets = directory.sparkSession.createDataFrame(wanted, "_part int, _offset long")
+    rows = directory.where(F.col("_part").isin([p for p, _ in wanted])).join(F.broadcast(offsets), "_part")
+    position = F.col("_offset") + F.col("_at") - F.shiftleft(F.col("_part").cast("long"), 33)
+    rows = rows.withColumn("position", position).where((F.col("position") >= first) & (F.col("position") < end))
+    return rows.orderBy("position").drop("_part", "_at", "_offset")
+
+
 def partner_rollup(book: DataFrame, upsell: Sequence[str] = UPSELL_TIERS) -> DataFrame:
     """Budget, product counts and readiness per partner; an unknown product count is one product."""
     products = F.coalesce(F.nullif(F.col("true_product_count").cast("int"), F.lit(0)), F.lit(1))

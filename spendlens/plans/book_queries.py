@@ -103,6 +103,12 @@ PAGE = """SELECT campaign_id, round(priority_index, 6) AS priority_index, priori
 ORDER BY priority_index DESC NULLS FIRST, rar DESC NULLS FIRST, p DESC NULLS FIRST, campaign_id LIMIT 50"""
 
 
+@query("accounts_deep_page", f"{TO_TIER} {PAGE} OFFSET 9950")
+def _(spark, sf):
+    page = ops.directory_page(ops.page_directory(ranked_rows(spark, sf)), 200)
+    return rounded(page.select("campaign_id", "priority_index", "priority_tier"))
+
+
 @query("accounts_second_page", f"{TO_TIER} {PAGE} OFFSET 50")
 def _(spark, sf):
     return rounded(ops.account_page(ranked_rows(spark, sf), 2).select("campaign_id", "priority_index", "priority_tier"))
