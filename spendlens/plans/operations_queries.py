@@ -382,3 +382,10 @@ def _(spark, sf):
         F.expr("'2025-9-' || cast(1 + p_partkey % 28 as string) || '-bench-' || cast(p_partkey as string) || '.json'").alias("source_file"),
         F.expr(BENCH_TEXT).alias("text"))
     return reports.benchmark_snapshots(reports.parse_benchmark_files(rows)).select("source_file", "version", "snapshot_date", "records_count")
+
+
+@query("event_property_fields", """SELECT event_id, k AS field, json_extract(props::JSON, '$.' || k)::VARCHAR AS value
+FROM (SELECT event_id, props, unnest(json_keys(props::JSON)) AS k FROM events WHERE json_valid(props))""")
+def _(spark, sf):
+    docs = reports.as_variant(tb.table(spark, sf, "events"), "props")
+    return reports.document_fields(docs, ["event_id"]).select("event_id", "field", "value")

@@ -155,3 +155,22 @@ def benchmark_snapshots(files: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter(F.map_keys("file.records"), lambda k: k != VERSION_KEY)).alias("records_count"),
         F.sha2(text, 256).alias("file_checksum"),
     )
+
+
+def as_variant(documents: DataFrame, text: str = "text", out: str = "doc") -> DataFrame:
+    """documents with ``out``: the JSON text as a Variant, whatever its shape; text that is no JSON gives null."""
+    return documents.withColumn(out, F.try_parse_json(F.col(text)))
+
+
+def document_fields(documents: DataFrame, keys: Sequence[str], doc: str = "doc") -> DataFrame:
+    """One row per top-level field of each Variant document: keys, field, value as JSON text, its type. Documents of
+    unlike shape share these columns; an object without fields, a non-object and a null give no rows."""
+    entries = F.try_variant_get(F.col(doc), "$", "map<string, variant>")
+    fields = documents.select(*keys, F.explode(entries).alias("field", "value"))
+    return fields.select(
+        *keys, "field", F.to_json("value").alias("value"), F.expr("schema_of_variant(value)").alias("value_type"))
+
+
+def document_value(doc: Column, path: str, kind: str = "string") -> Column:
+    """The value at a JSON path of a Variant document as ``kind``; null where absent or of another kind."""
+    return F.try_variant_get(doc, path, kind)
