@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..operators import incremental
 from ..operators import performance as ops
 from ..operators import reports
 from . import testbed as tb
+from ..shared import shared_folder
 from .registry import query, rounded
 
 PERF = tb.with_tables("camp", "brand") + """,
@@ -101,6 +103,16 @@ def _(spark, sf):
     return rounded(ops.executive_dashboard(performance(spark, sf)), 4)
 
 
+@query("executive_dashboard_refreshed", f"""{PERF}, {DASH.format(src="perf")} SELECT * FROM dash""")
+def _(spark, sf):
+    """Partials of every day but the newest are stored, then the newest day alone refreshes them."""
+    perf = performance(spark, sf)
+    days = sorted(r[0] for r in perf.select("snapshot_date").distinct().collect())  # one row per day
+    root = shared_folder(spark, "dashboard-partials")
+    incremental.refresh_dashboard(perf, days[:-1], root)
+    return rounded(incremental.refresh_dashboard(perf.where(F.col("snapshot_date") == days[-1]), days[-1:], root), 4)
+
+
 @query("dashboard_latest_months", f"""{PERF}, {DASH.format(src="perf")} SELECT * FROM dash ORDER BY month DESC LIMIT 6""")
 def _(spark, sf):
     return rounded(ops.latest_months(ops.executive_dashboard(performance(spark, sf)), 6), 4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -36,4 +37,7 @@ def local_session(app: str = "spendlens", cores: str | None = None) -> SparkSess
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        # A local run shares one machine, so a folder of it serves driver and executors alike.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendlens-shared-"))
     return tune(spark)
