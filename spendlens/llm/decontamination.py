@@ -78,7 +78,9 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, size: int = WINDOW, it
     found = per_doc.select("key", F.array_intersect("a", "b").alias("found")).where(F.size("found") > 0)
     found = saved(found, "candidates")
     texts = docs.join(small(found.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    texts = texts.join(found, "key").select("key", "found", words_of(F.col("text")).alias("words"))
+    # Written once: the optimizer would otherwise fold the split into the lambda below and split the text again for
+    # every candidate, which costs candidates x length.
+    texts = saved(texts.join(found, "key").select("key", "found", words_of(F.col("text")).alias("words")), "candidate-words")
     hits = F.filter("found", lambda x: (x["s"] >= 0) & (phrase_hash(F.slice("words", F.greatest(x["s"], F.lit(0)) + 1, x["len"])) == x["h"]))
     exact = texts.select("key", hits.alias("hits")).where(F.size("hits") > 0)
 

@@ -191,6 +191,16 @@ def test_decontamination_empty_tables(spark):
     assert decontamination.decontaminate(docs.limit(0), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_long_text_with_frequent_candidates(spark):
+    """A text of 80,000 words with the item's first word everywhere: the words are split once, not per candidate."""
+    filler = " ".join(["the", "cat"] * 40_000)
+    text = filler + " the cat sat on the mat " + filler
+    docs = spark.createDataFrame([(1, text), (2, "the cat")], DOCS)
+    items = spark.createDataFrame([(9, "the cat sat on the mat")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.decontaminate(docs, items).collect()}
+    assert got == {1: (160_006, 6, ["9"]), 2: (2, 0, [])}
+
+
 def test_decontamination_runs_no_python(spark):
     docs = spark.createDataFrame([(1, "a b c")], DOCS)
     plan = decontamination.decontaminate(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))._jdf.queryExecution().toString()
