@@ -87,6 +87,51 @@ def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
+#: Bytes of a chunk of the chunked file digest. Part of the digest's definition: another size gives other values.
+DIGEST_CHUNK = 8 << 20
+
+
+def _chunk_digests(batches, size: int):
+    """sha256 of the byte range of each (path, chunk, length) row, read from the shared file system by the task."""
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        out = []
+        for path, chunk, length in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            uri = "file://" + path[5:] if path.startswith("file:") and not path.startswith("file://") else path
+            system, inner = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(inner) as f:
+                f.seek(chunk * size)
+                data = f.read(min(size, length - chunk * size))
+            out.append(hashlib.sha256(data).digest())
+        yield pa.record_batch({"path": batch.column(0), "chunk": batch.column(1), "digest": pa.array(out, pa.binary())})
+
+
+def chunked_checksums(spark: SparkSession, path: str, pattern: str = "*", per_task: int = 16,
+                      chunk_bytes: int = DIGEST_CHUNK) -> DataFrame:
+    """(path, sha256, length, chunks) of each file of any size: sha256 over the sha256 digests of its chunks of
+    ``chunk_bytes`` (8 MiB) in
+    order. Empty files are not listed: Spark's file listing leaves them out. The value is the same however the chunks
+    are dealt to tasks; ``per_task`` chunks are read by a task, so one large file is read by many tasks at once.
+    Only file names and lengths pass through Spark's binary reader (its content column is never read)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+             .select("path", "length"))
+    chunks = files.select("path", "length", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.greatest(F.ceil(F.col("length") / chunk_bytes) - 1, F.lit(-1)).cast("long"))
+    ).alias("chunk"))
+    parts = max(1, -(-chunks.count() // per_task))  # one count of chunk rows, a few per file
+    digests = chunks.select("path", "chunk", "length").repartitionByRange(parts, "path", "chunk").mapInArrow(
+        lambda batches: _chunk_digests(batches, chunk_bytes), "path string, chunk long, digest binary")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", F.hex("digest").alias("hex"))))
+    joined = digests.groupBy("path").agg(  # raw digests in chunk order, joined once
+        F.sha2(F.unhex(F.array_join(F.transform(ordered, lambda x: x["hex"]), "")), 256).alias("sha256"),
+        F.count("*").alias("chunks"))
+    return files.join(joined, "path").select("path", "sha256", "length", "chunks")
+
+
 def _tagged(df: DataFrame) -> DataFrame:
     """With the file's name, and where in it a row stands: the split's first byte, then the row's number in the task."""
     place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
