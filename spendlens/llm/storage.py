@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -15,11 +14,11 @@ BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where none is named (tests, local mode), one in the local temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder (a local session sets one). Without
+    either the job stops with an error that names the setting; no machine-local folder is made."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spendlens-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
