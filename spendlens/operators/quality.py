@@ -118,6 +118,15 @@ def alert_counts(alerts: DataFrame, active: str = "active") -> DataFrame:
     return alerts.where(F.col(active)).select(F.inline(pairs)).groupBy("dimension", "value").agg(F.count("*").alias("alerts"))
 
 
+def alert_subtotals(alerts: DataFrame, active: str = "active") -> DataFrame:
+    """Active alerts per (level, type) with the subtotals of each level, each type and the grand total, from one
+    aggregation (a cube: the rows are expanded four ways and counted in the same shuffle). ``grouping`` tells the rows
+    apart: 0 for a pair, 1 for a level's subtotal, 2 for a type's, 3 for the total; a null level or type of an alert is
+    a value of its own and stays apart from the subtotal rows by this number. An empty input gives no rows."""
+    return alerts.where(F.col(active)).cube("level", "alert_type").agg(
+        F.grouping_id().alias("grouping"), F.count("*").alias("alerts"))
+
+
 def recent_alerts(alerts: DataFrame, n: int = 10) -> DataFrame:
     return alerts.orderBy(F.desc_nulls_last("created_at"), F.desc("alert_id")).limit(n)
 

@@ -172,6 +172,12 @@ def _(spark, sf):
     return q.alert_counts(alert_log(spark, sf))
 
 
+@query("alert_subtotals", f"""{ALERT_SQL} SELECT level, alert_type, GROUPING(level, alert_type) AS "grouping", count(*) AS alerts
+FROM al WHERE active GROUP BY CUBE (level, alert_type)""")
+def _(spark, sf):
+    return q.alert_subtotals(alert_log(spark, sf))
+
+
 @query("recent_alerts", f"{ALERT_SQL} SELECT * FROM al ORDER BY created_at DESC, alert_id DESC LIMIT 10")
 def _(spark, sf):
     return q.recent_alerts(alert_log(spark, sf))

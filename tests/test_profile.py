@@ -31,3 +31,16 @@ def test_frequent_values_hold_every_heavy_value(spark):
     df = spark.createDataFrame(rows, "k string, n long")
     got = {(r.column_name, r.value) for r in q.frequent_values(df, ["k", "n"], 0.1).collect()}
     assert {("k", "hot"), ("n", "0"), ("n", "1"), ("n", "2")} <= got  # 40 % and about 13.4 % each
+
+
+def test_alert_subtotals_one_shuffle(spark):
+    rows = [("info", "view", True), ("info", "click", True), ("warning", "view", True), ("info", "view", False),
+            (None, "view", True)]
+    df = spark.createDataFrame(rows, "level string, alert_type string, active boolean")
+    got = q.alert_subtotals(df)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    want = {("info", "view", 0, 1), ("info", "click", 0, 1), ("warning", "view", 0, 1), (None, "view", 0, 1),
+            ("info", None, 1, 2), ("warning", None, 1, 1), (None, None, 1, 1),
+            (None, "view", 2, 3), (None, "click", 2, 1), (None, None, 3, 4)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert q.alert_subtotals(df.limit(0)).collect() == []
