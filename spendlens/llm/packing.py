@@ -28,23 +28,21 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     of two adjacent ids, so that documents with the same wording tend to be neighbours in its order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = encoder(tokenizer), np.uint32(end_id).tobytes()
+        coder = encoder(tokenizer)
         narrow = coder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
             row = 0
             for texts in slices(batch.column("text").to_pylist()):
-                each = [x + end for x in coder.encode(texts)]
-                ids = np.frombuffer(b"".join(each), np.uint32)
-                cuts = np.append(0, np.cumsum([len(x) // 4 for x in each]))
+                ids, cuts = coder.encode_flat(texts, end_id)
                 pairs = ids * np.uint32(0x9E3779B1) + np.append(ids[1:], 0).astype(np.uint32) * np.uint32(0x85EBCA77)
                 pairs = (pairs ^ (pairs >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
                 pairs[cuts[1:] - 1] = np.uint32(0xFFFFFFFF)  # a document's last id has no successor
                 least = np.minimum.reduceat(pairs, cuts[:-1])
                 flat = ids.astype(np.uint16) if narrow else ids
                 at = pa.array((cuts * flat.itemsize).astype(np.int32)).buffers()[1]
-                blobs = pa.Array.from_buffers(pa.binary(), len(each), [None, at, pa.py_buffer(flat)])
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(row, len(each)), "ids": blobs, "signature": pa.array(least.astype(np.int64))})
-                row += len(each)
+                blobs = pa.Array.from_buffers(pa.binary(), len(texts), [None, at, pa.py_buffer(flat)])
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(row, len(texts)), "ids": blobs, "signature": pa.array(least.astype(np.int64))})
+                row += len(texts)
 
     return docs.mapInArrow(encode, "doc_id long, ids binary, signature long")
 

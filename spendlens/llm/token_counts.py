@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,10 +21,10 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "te
     ready(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        coder = encoder(tokenizer)
         for batch in batches:
             for part in slices(batch.column(0).to_pylist()):
-                yield pa.record_batch({"n_tokens": pa.array([len(ids) // 4 for ids in encode(part)], pa.int64())})
+                yield pa.record_batch({"n_tokens": pa.array(np.diff(coder.encode_flat(part)[1]))})
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lengths, "n_tokens long")
 

@@ -30,20 +30,18 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, first, encode, end = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode, np.uint32(end_id).tobytes()
+        part, first, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
             row = 0
             for texts in slices(batch.column("text").to_pylist()):
-                ids = [x + end for x in encode(texts)]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                before = np.concatenate(([0], np.cumsum(n)))
-                values = pa.Array.from_buffers(pa.int32(), int(before[-1]), [None, pa.py_buffer(b"".join(ids))])
+                ids, before = coder.encode_flat(texts, end_id)
+                n = np.diff(before)
                 yield pa.record_batch({
                     "part": pa.array(np.full(len(n), part, np.int32)),
                     "first": pa.array(first + before[:-1]),
                     "doc_id": batch.column("doc_id").slice(row, len(n)),
                     "n_tokens": pa.array(n.astype(np.int32)),
-                    "ids": pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), values),
+                    "ids": pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(ids.view(np.int32))),
                 })
                 row += len(n)
                 first += int(before[-1])

@@ -45,6 +45,16 @@ def test_dictionary_encoder_is_exact(spark):
         assert got == [reference_ids(t) for t in texts]
 
 
+def test_encoder_sends_each_distinct_piece_once():
+    coder = bpe.Encoder(public_tokenizers.path(bpe.TOKENIZER))
+    sent, whole = [], coder._whole
+    coder._whole = lambda texts: sent.extend(texts) or whole(texts)
+    texts = [f"Again the same words, the same words.\nAgain {i % 3}" for i in range(500)] + [None, "", " ", "\n"]
+    ids, cuts = coder.encode_flat(texts, 7)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [[*reference_ids(t), 7] for t in texts]
+    assert sum(map(len, sent)) < 100
+
+
 def test_token_file_round_trip(spark):
     df = spark.createDataFrame(TEXTS, DOCS).withColumn("part", F.lit("x")).withColumn("ids", F.lit(1)).repartition(4)
     path = new_path(spark, "token-test")
