@@ -17,8 +17,8 @@ WINDOW = 1024
 END_ID = 0
 #: A shard of the index holds documents until they have so many tokens; it is what a task keeps in memory at a time.
 SHARD_TOKENS = 2_000_000
-#: A seed asks for its terms that fewest documents of the shard hold.
-QUERY_TERMS = 12
+#: A term that one in so many documents of the shard holds has its weights in a row for all of them, others have postings.
+DENSE = 8
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -63,14 +63,22 @@ class Shard:
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.at = doc[order], weight[order], np.append(0, np.cumsum(df))
+        often = df * DENSE >= len(ids)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.rows = np.zeros((int(often.sum()), len(ids)), np.float32)
+        at = order[often[term[order]]]
+        self.rows[self.row[term[at]], doc[at]] = weight[at]
         shared = np.flatnonzero(df[term] > 1)  # a term of one document finds no other
         shared = shared[np.lexsort((df[term[shared]], doc[shared]))]
         self.query = term[shared]
         self.query_at = np.searchsorted(doc[shared], np.arange(len(ids) + 1)).tolist()
         self.unused = np.ones(len(ids))
+        self.left = len(ids)
+        self.live = np.arange(len(ids))  # documents of the columns of rows: all that are unused, and some used ones
         self.next = 0
 
     def use(self, doc: int) -> None:
+        self.left -= int(self.unused[doc])
         self.unused[doc] = 0
 
     def next_unused(self) -> int | None:
@@ -79,18 +87,26 @@ class Shard:
         return self.next if self.next < len(self.sizes) else None
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents by falling BM25 score for the seed's rarest terms; then, if asked for more, all others in order."""
-        a, b = self.query_at[seed], self.query_at[seed + 1]
-        spans = [(self.at[t], self.at[t + 1]) for t in self.query[a : min(b, a + QUERY_TERMS)].tolist()]
-        if spans:
-            docs = np.concatenate([self.doc[x:y] for x, y in spans])
-            scores = np.bincount(docs, np.concatenate([self.weight[x:y] for x, y in spans]), len(self.sizes)) * self.unused
-            while True:
+        """Unused documents by falling BM25 score for all terms of the seed; then, if asked for more, those that share no
+        term with it in order."""
+        terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
+        if len(terms):
+            if self.left < 0.75 * len(self.live):
+                kept = self.unused[self.live] > 0
+                self.live, self.rows = self.live[kept], np.ascontiguousarray(self.rows[:, kept])
+            row = self.row[terms]
+            rare = terms[row < 0]
+            first, n = self.at[rare], self.at[rare + 1] - self.at[rare]
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            live = self.live
+            scores = np.bincount(self.doc[at], self.weight[at], len(self.sizes))[live]
+            scores = (scores + self.rows[row[row >= 0]].sum(0)) * self.unused[live]
+            while len(scores):
                 best = int(scores.argmax())
                 if scores[best] <= 0:
                     break
                 scores[best] = 0
-                yield best
+                yield int(live[best])
         while (doc := self.next_unused()) is not None:
             yield doc
 

@@ -131,6 +131,36 @@ def test_packing_prefers_related_documents():
     assert same / total > 0.8
 
 
+def test_packing_ranks_by_all_terms_of_a_seed():
+    """A seed of 40 terms: 12 rare ones are in document 2, the other 28 in 3 and 4; 1 shares nothing."""
+    seed = np.arange(40)
+    ids = [seed, np.arange(100, 140), np.arange(12), np.arange(12, 40), np.arange(12, 40), np.arange(200, 240)]
+    shard = packing.Shard(ids)
+    shard.use(0)
+    found = shard.neighbours(0)
+    order = []
+    for doc in found:
+        shard.use(doc)
+        order.append(doc)
+    assert set(order[:3]) == {2, 3, 4} and order[3:] == [1, 5]
+
+    rng = np.random.default_rng(5)
+    ids = [rng.integers(0, 300, rng.integers(5, 120)) for _ in range(60)]
+    shard = packing.Shard(ids)
+    sets, mean = [set(x.tolist()) for x in ids], sum(map(len, ids)) / len(ids)
+    df = {t: sum(t in s for s in sets) for t in range(300)}
+    for seed in range(0, 60, 7):
+        def score(doc, seed=seed):
+            tf = np.bincount(ids[doc], minlength=300)
+            norm = packing.K1 * (1 - packing.B + packing.B * len(ids[doc]) / mean)
+            return sum(math.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (packing.K1 + 1) / (tf[t] + norm) for t in sets[seed] & sets[doc] if df[t] > 1)
+
+        found = shard.neighbours(seed)
+        first = [next(found) for _ in range(20)]
+        best = sorted(map(score, range(60)), reverse=True)[:20]
+        assert [score(d) for d in first] == pytest.approx(best, rel=1e-5)
+
+
 def test_repeated_and_null_rows_are_packed(spark):
     rows = [(1, "same text"), (1, "same text"), (None, None), (None, "x")]
     pieces = packing.packed_sequences(spark.createDataFrame(rows, DOCS)).collect()
