@@ -1,16 +1,15 @@
-"""Suffix-array dedup of bytes: a hash-compared suffix sort finds every 200-byte string that starts twice.
+"""Suffix-array dedup of bytes: a suffix sort finds every 200-byte string that starts twice.
 
-Suffixes are compared by their longest common extension, found by binary search on prefix polynomial hashes, so a
-comparison costs a logarithm of the length; the sort is a bottom-up mergesort whose merges rank every suffix of one
-run in the other by the same comparison, all runs of a level at once in NumPy. Suffixes whose first 200 bytes compare
-equal are verified byte by byte before they count, so a hash collision never removes a byte.
+Suffixes are sorted by their bytes, eight at a time from the first on, all groups at once in NumPy: a round orders the
+suffixes that are still tied by their next eight bytes, and one that ties with no other any more is done. What is tied
+after 200 bytes is equal in every byte, so a hash collision never removes a byte.
 
 The sort is split so that no task sees more than its share. Every 200-byte window of a text has one anchor, the
 32-byte string of least hash inside it (the leftmost on ties), and equal windows have equal anchors at the same
 place. Anchors are counted over the whole table; only those that occur twice or more bring the bytes around them (the
 windows they anchor) to one group, contexts of identical bytes are merged first, and each group's suffixes are sorted
 on their own. Windows in a context that occurs twice are duplicates at once; of the others only those whose window
-hash recurs in the group enter the sort (equal windows have equal hashes), and the sort with its byte check decides.
+hash recurs in the group enter the sort (equal windows have equal hashes), and the sort decides by their bytes.
 """
 
 from __future__ import annotations
@@ -91,15 +90,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, _, raw, offsets in blocks(batch.column(1)):
-            h, r, at, lo, hi = anchors_of(raw, offsets)
+            h, r, _, lo, hi = anchors_of(raw, offsets)
             yield pa.record_batch({
-                "h": pa.array(h.view(np.int64)), "row": pa.array(ids[row + r]), "at": pa.array(at, pa.int32()),
+                "h": pa.array(h.view(np.int64)), "row": pa.array(ids[row + r]),
                 "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()),
             })
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the windows each anchor of a row anchors: from its first window start to the end of its last window."""
+    """Bytes of the windows each anchor of a row anchors, from its first window start to the end of its last window, and
+    their sha256, which stands for them where only equality counts."""
     for batch in batches:
         h, ctx, row, lo = [], [], [], []
         for r, text, found in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(),
@@ -110,65 +110,47 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 ctx.append(data[f["lo"] : f["hi"] + LENGTH])
                 row.append(r)
                 lo.append(f["lo"])
-        yield pa.record_batch({"h": pa.array(h, pa.int64()), "ctx": pa.array(ctx, pa.binary()),
+        names = [hashlib.sha256(c).digest() for c in ctx]
+        yield pa.record_batch({"h": pa.array(h, pa.int64()), "name": pa.array(names, pa.binary()), "ctx": pa.array(ctx, pa.binary()),
                                "row": pa.array(row, pa.int64()), "lo": pa.array(lo, pa.int32())})
 
 
-def _compare(prefix, buf, group, a, b, length):
-    """(order, common): -1, 0 or 1 for suffix a against b by (group, first `length` bytes), and their common bytes."""
-    lo = np.zeros(len(a), np.int64)
-    hi = np.full(len(a), length, np.int64)
-    same_group = group[a] == group[b]
-    hi[~same_group] = 0
-    while True:
-        open_ = lo < hi
-        if not open_.any():
+def _ranked(buf: np.ndarray, suffixes: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): suffixes in the order of (group, first `length` bytes), and which of them differ from the one before.
+    Stable. The bytes are read as big-endian words at any place of buf; the last word may lap over the one before."""
+    size = min(length, 8)
+    words = np.ndarray((len(buf) - size + 1,), f">u{size}" if size in (1, 2, 4, 8) else f"S{size}", buf, strides=(1,))
+    of = group[suffixes]
+    by = np.argsort(of, kind="stable")
+    order, of = suffixes[by], of[by]
+    new = np.ones(len(order), bool)
+    new[1:] = of[1:] != of[:-1]
+    for at in dict.fromkeys([*range(0, length - size + 1, size), length - size]):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        open_ = np.flatnonzero(tied)
+        if not len(open_):
             break
-        mid = (lo + hi + 1) // 2
-        equal = _hash(prefix, a, mid) == _hash(prefix, b, mid)
-        lo = np.where(open_ & equal, mid, lo)
-        hi = np.where(open_ & ~equal, mid - 1, hi)
-    order = np.zeros(len(a), np.int64)
-    differ = same_group & (lo < length)
-    byte_a = buf[np.minimum(a + lo, len(buf) - 1)].astype(np.int64)
-    byte_b = buf[np.minimum(b + lo, len(buf) - 1)].astype(np.int64)
-    order[differ] = np.sign(byte_a - byte_b)[differ]
-    order[~same_group] = np.sign(group[a] - group[b])[~same_group]
-    return order, lo
+        word = words[order[open_] + at]
+        word = word if size not in (1, 2, 4, 8) else word.astype(np.uint64)
+        head = new[open_]
+        differs = np.zeros(len(open_), bool)
+        differs[1:] = (word[1:] != word[:-1]) & ~head[1:]
+        if not differs.any():
+            continue
+        cls = np.cumsum(head) - 1
+        split = np.flatnonzero((np.bincount(cls, differs) > 0)[cls])  # members of ties that end here
+        by = split[np.lexsort((word[split], cls[split]))]
+        order[open_[split]] = order[open_[by]]
+        word, part = word[by], cls[split]
+        new[open_[split[1:]]] |= (word[1:] != word[:-1]) & (part[1:] == part[:-1])
+    return order, new
 
 
 def suffix_sort(buf: np.ndarray, suffixes: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """suffixes (byte starts in buf, each with `length` bytes after it) in the order of (group, bytes): a bottom-up
-    mergesort; each level places every suffix at its run position plus its rank in the partner run, found by binary
-    search with hash-compared suffixes. Stable. group is indexed by byte start."""
-    prefix = _prefix(buf)
-    order = suffixes.copy()
-    n = len(order)
-    width = 1
-    while width < n:
-        place = np.arange(n)
-        run = place // width
-        left = run % 2 == 0
-        start = (run - (~left)) * width  # first place of the pair
-        partner = np.where(left, start + width, start)
-        size = np.clip(np.minimum(partner + width, n) - partner, 0, None)
-        lo = np.zeros(n, np.int64)
-        hi = size.copy()
-        while True:
-            open_ = lo < hi
-            if not open_.any():
-                break
-            idx = np.flatnonzero(open_)
-            mid = (lo[idx] + hi[idx]) // 2
-            cmp, _ = _compare(prefix, buf, group, order[partner[idx] + mid], order[idx], length)
-            before = np.where(left[idx], cmp < 0, cmp <= 0)  # equal keys of the left run go first
-            lo[idx] = np.where(before, mid + 1, lo[idx])
-            hi[idx] = np.where(before, hi[idx], mid)
-        merged = np.empty_like(order)
-        merged[start + (place - np.where(left, start, start + width)) + lo] = order
-        order = merged
-        width *= 2
-    return order
+    """suffixes (byte starts in buf, each with `length` bytes after it) in the order of (group, bytes). Stable. group is
+    indexed by byte start."""
+    return _ranked(buf, suffixes, group, length)[0]
 
 
 def _runs(offsets: np.ndarray) -> list[dict]:
@@ -207,18 +189,10 @@ def _judge(h: np.ndarray, ctx: list[bytes], mult: np.ndarray, length: int = LENG
     if len(sort):
         byte_group = np.full(len(buf), -1, np.int64)
         byte_group[suffix[sort]] = group[owner[sort]]
-        order = suffix_sort(buf, suffix[sort], byte_group, length)
-        cmp, common = _compare(_prefix(buf), buf, byte_group, order[:-1], order[1:], length)
-        equal = (cmp == 0) & (common == length)
-        span = np.arange(length)
-        pairs = np.flatnonzero(equal)
-        for c in range(0, len(pairs), 50_000):  # verify the bytes of every pair whose hashes agree
-            at = pairs[c : c + 50_000]
-            a, b = order[:-1][at], order[1:][at]
-            equal[at] = (buf[a[:, None] + span] == buf[b[:, None] + span]).all(axis=1)
+        order, new = _ranked(buf, suffix[sort], byte_group, length)
         hit = np.zeros(len(buf), bool)
-        hit[order[:-1][equal]] = True
-        hit[order[1:][equal]] = True
+        hit[order[1:][~new[1:]]] = True
+        hit[order[:-1][~new[1:]]] = True
         dup |= hit[suffix]
     edges = np.concatenate(([0], np.cumsum(count)))
     return [_runs(suffix[edges[i] : edges[i + 1]][dup[edges[i] : edges[i + 1]]] - starts[i]) for i in range(len(ctx))]
@@ -233,7 +207,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = table.column("h").to_numpy()
         runs = _judge(h, table.column("ctx").to_pylist(), table.column("mult").to_numpy())
         typed = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.record_batch({"h": table.column("h").combine_chunks(), "ctx": table.column("ctx").combine_chunks(),
+        return pa.record_batch({"h": table.column("h").combine_chunks(), "name": table.column("name").combine_chunks(),
                                 "runs": pa.array(runs, typed)})
 
     for batch in batches:
@@ -289,19 +263,19 @@ def duplicate_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ready(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
-    anchors = rows.select("row", "text").mapInArrow(_anchor_rows, "h long, row long, at int, lo int, hi int")
+    anchors = rows.select("row", "text").mapInArrow(_anchor_rows, "h long, row long, lo int, hi int")
     anchors = saved(anchors, "suffix-anchors")
     twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = anchors.join(twice, "h", "left_semi").groupBy("row").agg(
         F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
     contexts = rows.join(found, "row").select("row", "text", "found").mapInArrow(
-        _context_rows, "h long, ctx binary, row long, lo int")
+        _context_rows, "h long, name binary, ctx binary, row long, lo int")
     contexts = saved(contexts, "suffix-contexts")
-    distinct = contexts.groupBy("h", "ctx").agg(F.count("*").alias("mult"))
+    distinct = contexts.groupBy("h", "name", "ctx").agg(F.count("*").alias("mult"))
     judged = distinct.repartition("h").sortWithinPartitions("h").mapInArrow(
-        _judged, "h long, ctx binary, runs array<struct<a:int,b:int>>")
+        _judged, "h long, name binary, runs array<struct<a:int,b:int>>")
     judged = saved(judged.where(F.size("runs") > 0), "suffix-judged")
-    spans = contexts.join(judged, ["h", "ctx"]).select(
+    spans = contexts.select("h", "name", "row", "lo").join(judged, ["h", "name"]).select(
         "row", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("lo")).alias("a"),
                                                                   (r["b"] + F.col("lo") + LENGTH).alias("b")))).alias("s"))
     spans = spans.groupBy("row").agg(F.collect_list("s").alias("spans"))

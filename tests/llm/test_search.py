@@ -166,6 +166,20 @@ def test_suffix_sort_orders_like_bytes():
     assert keys == sorted(keys)
 
 
+def test_suffix_sort_reads_bytes_once_a_round():
+    """Long ties, groups and all lengths: as sorted() by bytes, and equal neighbours are known without hashes."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 256, 400).astype(np.uint8)
+    buf = np.concatenate([np.concatenate((passage[rng.integers(0, 9) :], rng.integers(0, 2, 30).astype(np.uint8))) for _ in range(40)])
+    starts = rng.permutation(len(buf) - 200)[:4000]
+    group = rng.integers(0, 3, len(buf))
+    for length in (1, 3, 8, 13, 50, 200):
+        order, new = suffix_dedup._ranked(buf, starts, group, length)
+        keys = [(group[s], buf[s : s + length].tobytes()) for s in order.tolist()]
+        assert keys == sorted(keys)
+        assert new.tolist() == [True, *(a != b for a, b in zip(keys, keys[1:]))]
+
+
 def test_suffix_dedup_matches_brute_force(spark):
     rows = byte_texts()
     docs = spark.createDataFrame(rows, DOCS).withColumn("TEXT_", F.lit("x"))
