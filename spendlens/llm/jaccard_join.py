@@ -77,6 +77,22 @@ def far_apart(left: np.ndarray, right: np.ndarray, total: np.ndarray) -> np.ndar
     return np.bitwise_count(left ^ right).sum(1, dtype=np.int64) > total - 2 * needed(total)
 
 
+def seen_often(held: dict[int, np.ndarray]) -> np.ndarray:
+    """(shingle, count) of those in at least SEEN of the sets, which are let go: sorted in one array, without others of its size."""
+    if not held:
+        return np.zeros((0, 2), np.uint64)
+    values = np.concatenate(list(held.values()))
+    held.clear()
+    values.sort()
+    first = np.zeros(len(values), bool)  # of a run of SEEN or more
+    if len(values) >= SEEN:
+        np.equal(values[SEEN - 1 :], values[: len(values) - SEEN + 1], out=first[: len(values) - SEEN + 1])
+        first[1:] &= values[1:] != values[:-1]
+    first = np.flatnonzero(first)
+    often = values[first]
+    return np.stack((often, (np.searchsorted(values, often, "right") - first).astype(np.uint64)), 1)
+
+
 def summary(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, sid, vector) per document and, in rows of their own, (frequent): shingles often met in a task's sets."""
 
@@ -84,12 +100,7 @@ def summary(docs: DataFrame, k: int) -> DataFrame:
         held: dict[int, np.ndarray] = {}
 
         def frequent() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(list(held.values()))) if held else np.zeros(0, np.uint64)
-            cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
-            counts = np.diff(np.append(cuts, len(values)))
-            often = counts >= SEEN
-            rows = np.stack((values[cuts[often]], counts[often].astype(np.uint64)), 1) if len(values) else np.zeros((0, 2), np.uint64)
-            held.clear()
+            rows = seen_often(held)
             return record([None], [None], [None], [None], [rows.tobytes()])
 
         def record(ids: list, n: list, sids: list, vectors: list, often: list) -> pa.RecordBatch:

@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +148,22 @@ def test_tree_join_against_all_pairs(spark):
     assert links and links <= got and len(got) < len(sets) * (len(sets) - 1) // 2
 
 
+def test_jaccard_frequent_shingles_are_counted_in_place():
+    rng = np.random.default_rng(2)
+    for n, most in ((100, 400), (5, 1000), (1, 2), (0, 9)):
+        held = {i: np.unique(rng.integers(0, most, n).astype(np.uint64)) for i in range(50)}
+        counts = Counter(v for own in held.values() for v in own.tolist())
+        assert jaccard_join.seen_often(held).tolist() == sorted([v, c] for v, c in counts.items() if c >= jaccard_join.SEEN)
+        assert not held
+    held = {i: np.unique(rng.integers(0, 1 << 60, 10_000).astype(np.uint64)) for i in range(100)}
+    size = sum(x.nbytes for x in held.values())
+    tracemalloc.start()
+    jaccard_join.seen_often(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * size  # the sets themselves were there before
+
+
 def test_jaccard_no_rows(spark):
     assert jaccard_join.jaccard_groups(spark.createDataFrame([], DOCS)).count() == 0
     alone = jaccard_join.jaccard_groups(spark.createDataFrame([(5, None)], DOCS)).collect()
