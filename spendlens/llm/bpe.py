@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Pieces in each of the worker's two dictionaries (about 170 bytes each). When the newer one is full it takes the older one's
 #: place; pieces that are met again move over.
 MOST_PIECES = 250_000
+#: Pieces that the library encodes at a time; it holds about 100 bytes per id meanwhile.
+LEARNED = 1 << 14
 TOKENIZER = "byte_bpe_50k.json"
 #: Two blanks in a row, and every white space besides blank and line break.
 _ODD = ("  ", " \n", "\n ", "\n\n", "\0", *(c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n"))
@@ -50,7 +53,7 @@ class Encoder:
         """Ids of pieces as they are cut: a blank and a word, a line break (after a blank) and a word, or without white space
         (or with \\0 in its place) what begins a text or follows a letter.
 
-        The library encodes all of them as one text, with a line break before those that have none; each piece starts at an id
+        The library encodes all of them as a few texts, with a line break before those that have none; each piece starts at an id
         with white space, which it has nowhere else. Pieces that are white space alone stand in `bare`."""
         older, known, new, spelled, skipped = self.older, self.known, [], [], []
         for piece in pieces:
@@ -64,11 +67,12 @@ class Encoder:
             new.append(piece)
             spelled.append((piece[1:] if piece[1] == 10 else piece) if own else b"\n" + piece.removeprefix(b" \0"))
             skipped.append(0 if own else 4)
-        if new:
-            got = self._whole([b"".join(spelled).decode()])[0]
+        for x in range(0, len(new), LEARNED):
+            part = slice(x, x + LEARNED)
+            got = self._whole([b"".join(spelled[part]).decode()])[0]
             starts = np.flatnonzero(self.opens[np.frombuffer(got, "<u4")]) * 4
             ends = np.append(starts[1:], len(got)).tolist()
-            for piece, a, b in zip(new, (starts + skipped).tolist(), ends, strict=True):
+            for piece, a, b in zip(new[part], (starts + skipped[part]).tolist(), ends, strict=True):
                 known[piece] = got[a:b]
 
     def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +135,14 @@ def encoder(name: str = TOKENIZER) -> Encoder:
     return _encoders[name]
 
 
-def slices(texts: list[str | None], most: int = 1 << 22):
-    """Parts of a list of texts with about `most` characters each, to bound what is held at a time."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text or "")
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def slices(texts: pa.Array | list[str | None], most: int = 1 << 22):
+    """Parts of a column or list of texts with about `most` bytes each, to bound what is held at a time."""
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.large_string())
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        before = int(size[row - 1]) if row else 0
+        end = min(len(texts), int(np.searchsorted(size, before + most)) + 1)
+        yield texts.slice(row, end - row).to_pylist()
+        row = end

@@ -32,7 +32,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         narrow = coder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
             row = 0
-            for texts in slices(batch.column("text").to_pylist()):
+            for texts in slices(batch.column("text")):
                 ids, cuts = coder.encode_flat(texts, end_id)
                 pairs = ids * np.uint32(0x9E3779B1) + np.append(ids[1:], 0).astype(np.uint32) * np.uint32(0x85EBCA77)
                 pairs = (pairs ^ (pairs >> np.uint32(15))) * np.uint32(0xC2B2AE3D)

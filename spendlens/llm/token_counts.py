@@ -23,7 +23,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "te
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
+            for part in slices(batch.column(0)):
                 yield pa.record_batch({"n_tokens": pa.array(np.diff(coder.encode_flat(part)[1]))})
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lengths, "n_tokens long")

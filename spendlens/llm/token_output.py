@@ -33,7 +33,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end
         part, first, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
             row = 0
-            for texts in slices(batch.column("text").to_pylist()):
+            for texts in slices(batch.column("text")):
                 ids, before = coder.encode_flat(texts, end_id)
                 n = np.diff(before)
                 yield pa.record_batch({
