@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
@@ -28,68 +28,127 @@ def first_keyword(name) -> Column:
     return F.coalesce(F.get(words, F.lit(0)), F.lit(""))
 
 
+def _newest() -> list[Column]:
+    """Order of the months of a key, newest first. Months of one date follow campaign id."""
+    return [F.desc_nulls_first("report_month"), F.asc("campaign_id")]
+
+
 def _points(history: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest twelve months per key as an array, newest first. Months of one date follow campaign id."""
-    order = [F.desc_nulls_first("report_month"), F.asc("campaign_id")]
-    top = top_per_key(history, keys, order, MONTHS, "_pos")
+    """Newest twelve months per key as an array, newest first.
+
+    The array is built over the window that ranks the months, so neither a second sort nor a hash table of lists is
+    needed.
+    """
+    top = top_per_key(history, keys, _newest(), MONTHS, "_pos")
     point = F.struct("_pos", F.col("report_month").alias("month"), F.col("cost_per_lead").alias("cpl"), "leads", "spend")
-    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("points"))
+    whole = Window.partitionBy(*keys).orderBy(*_newest()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = top.select(*keys, "_pos", F.collect_list(point).over(whole).alias("points"))
+    return listed.where("_pos = 1").select(*keys, F.sort_array("points").alias("points"))
+
+
+def _own_points(months: DataFrame) -> DataFrame:
+    """Newest twelve months per campaign, from its months per business and campaign name.
+
+    They come from the twelve names with the newest first month, so at most 144 months of a campaign meet. Most
+    campaigns have one name, so nothing is trimmed before the rows move to the task of their campaign.
+    """
+    order = [F.desc_nulls_first(F.col("points")[0]["month"]), F.asc("business_name"), F.asc("campaign_name")]
+    top = top_per_key(months.where(F.col("campaign_id").isNotNull()).repartition("campaign_id"), ["campaign_id"], order, MONTHS, "_name")
+    whole = Window.partitionBy("campaign_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = top.select("campaign_id", "_name", F.collect_list("points").over(whole).alias("lists")).where("_name = 1")
+    # Newest first: months as falling day numbers, a missing month before all others.
+    keyed = F.transform(F.flatten("lists"), lambda p: F.struct((-F.unix_date(p["month"])).alias("age"), p.alias("p")))
+    merged = F.transform(F.slice(F.sort_array(keyed), 1, MONTHS), lambda k, i: k["p"].withField("_pos", i + 1))
+    return listed.select("campaign_id", F.when(F.size("lists") == 1, F.col("lists")[0]).otherwise(merged).alias("points"))
+
+
+def _months_by_name(months: DataFrame) -> DataFrame:
+    """The twelve newest months per business and campaign name, one row each.
+
+    They belong to the twelve campaigns with the newest first month, which alone are unfolded.
+    """
+    keys = ["business_name", "campaign_name"]
+    first = F.col("points")[0]["month"]
+    top = top_per_key(months, keys, [F.desc_nulls_first(first), F.asc("campaign_id")], MONTHS, "_campaign")
+    rows = top.select(*keys, "campaign_id", F.explode("points").alias("p")).select(
+        *keys, "campaign_id", F.col("p.month").alias("report_month"), F.col("p.cpl").alias("cost_per_lead"), "p.leads", "p.spend")
+    return top_per_key(rows, keys, _newest(), MONTHS, "_pos").drop("_pos")
 
 
-def _by_keyword(keys: DataFrame, history: DataFrame) -> DataFrame:
+def _by_keyword(keys: DataFrame, months: DataFrame) -> DataFrame:
     """Months of a business whose campaign names contain a keyword, for each (partner_name, keyword).
 
-    ``history`` is first cut to the twelve newest months per business and campaign name, which cannot lose a
-    month that belongs to the twelve of a keyword, for businesses that need it, and written once for all steps. Names
-    and keywords meet through a q-gram index of the names (``keyword_index``): candidates from a keyword's rarest
-    piece, kept if they hold all its pieces, then the pattern test; no step joins a keyword with all names of its
-    business.
+    ``months`` (``points`` per campaign and name) is first cut to the twelve newest months per business and campaign
+    name, which cannot lose a month that belongs to the twelve of a keyword, for businesses that need it, and written
+    once for all steps. Names and keywords meet through a q-gram index of the names (``keyword_index``): candidates from
+    a keyword's rarest piece, kept if they hold all its pieces, then the pattern test; no step joins a keyword with all
+    names of its business.
     """
-    order = [F.desc_nulls_first("report_month"), F.asc("campaign_id")]
     wanted = keys.select(F.col("partner_name").alias("business_name")).distinct()
-    by_name = top_per_key(history.join(wanted, "business_name", "left_semi"), ["business_name", "campaign_name"], order, MONTHS, "_pos")
-    by_name = written(by_name.drop("_pos"), "history-by-name")
+    by_name = written(_months_by_name(months.join(wanted, "business_name", "left_semi")), "history-by-name")
     empty = F.col("keyword") == ""
     index = name_index(by_name, "business_name", "campaign_name")
     named = keyword_matches(keys.where(~empty).select(F.col("partner_name").alias("owner"), "keyword"), index)
     named = named.select(F.col("owner").alias("partner_name"), "keyword", F.col("name").alias("campaign_name"))
-    months = by_name.withColumnRenamed("business_name", "partner_name")
-    found = named.join(months, ["partner_name", "campaign_name"])
+    by_name = by_name.withColumnRenamed("business_name", "partner_name")
+    found = named.join(by_name, ["partner_name", "campaign_name"])
     whole = keys.where(empty).select("partner_name", "keyword").join(
-        top_per_key(months, ["partner_name"], order, MONTHS, "_pos").drop("_pos"), "partner_name"
+        top_per_key(by_name, ["partner_name"], _newest(), MONTHS, "_pos").drop("_pos"), "partner_name"
     )
     columns = ["partner_name", "keyword", "campaign_id", "report_month", "cost_per_lead", "leads", "spend"]
     return _points(found.select(*columns).unionByName(whole.select(*columns)), ["partner_name", "keyword"])
 
 
 def history_points(campaigns: DataFrame, history: DataFrame) -> DataFrame:
-    """``points`` per campaign: its own months, or those of its business found by keyword when it has none."""
+    """``points`` per campaign: its own months, or those of its business found by keyword when it has none.
+
+    The history is read once: its months per campaign and name are written, and own months as well as months by name
+    follow from them. Campaign rows are never written, so a caller's columns alone are read, and only campaigns
+    without months of their own meet the months by keyword.
+    """
     known = history.where(F.col("cost_per_lead").isNotNull())
-    own = _points(known, ["campaign_id"]).select(F.col("campaign_id").alias("_hid"), F.col("points").alias("_own"))
-    rows = campaigns.withColumns(
-        {"keyword": first_keyword("campaign_name"), "_hid": F.col("campaign_id").try_cast("bigint")}
-    ).join(own, "_hid", "left")
+    months = written(_points(known, ["campaign_id", "business_name", "campaign_name"]), "months-by-campaign")
+    hid = F.col("campaign_id").try_cast("bigint")
+    keyword = first_keyword("campaign_name")
     usable = (F.coalesce("partner_name", F.lit("")) != "") & (F.coalesce("campaign_name", F.lit("")) != "")
-    rows = written(rows, "own-history")
-    unmatched = rows.where(F.col("_own").isNull() & usable).select("partner_name", "keyword").distinct()
-    borrowed = _by_keyword(unmatched, known).withColumnRenamed("points", "_borrowed")
-    return (
-        rows.join(borrowed, ["partner_name", "keyword"], "left")
-        .withColumn("points", F.coalesce("_own", F.when(usable, F.col("_borrowed"))))
-        .drop("_hid", "_own", "_borrowed")
-    )
+    # Keywords are cut out of the names of lost campaigns alone.
+    lost = campaigns.select("campaign_id", "partner_name", "campaign_name", hid.alias("_hid")).join(
+        months.select(F.col("campaign_id").alias("_hid")), "_hid", "left_anti")
+    lost = written(lost.select("campaign_id", "partner_name", F.when(usable, keyword).alias("keyword")), "lost-campaigns")
+    keys = written(lost.where(F.col("keyword").isNotNull()).select("partner_name", "keyword").distinct(), "lost-keywords")
+    borrowed = _by_keyword(keys, months).withColumnRenamed("points", "_points")
+    ids = lost.select(F.col("campaign_id").alias("_lost")).distinct()
+    rows = campaigns.join(ids, F.col("campaign_id").eqNullSafe(F.col("_lost")), "left_semi").withColumn("keyword", keyword)
+    found = rows.join(borrowed, ["partner_name", "keyword"], "left").withColumn("points", F.when(usable, F.col("_points")))
+    own = _own_points(months).toDF("_hid", "_points")
+    owners = campaigns.withColumns({"keyword": keyword, "_hid": hid}).join(own, "_hid").withColumn("points", F.col("_points"))
+    return owners.drop("_hid", "_points").unionByName(found.drop("_points"))
 
 
 def _mean(values: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
 
 
-def trend_of(values: Column, direction_only: bool = False) -> Column:
-    """Newest three (or half) against the rest: direction beyond ±10 %, size, days covered and confidence."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def change_of(values: Column) -> Column:
+    """Newest three (or half) against the rest, in per cent of the rest."""
     n = F.size(values)
     take = F.least(F.lit(3), F.floor(n / 2).cast("int"))
     recent, older = _mean(F.slice(values, 1, take)), _mean(F.slice(values, take + 1, F.greatest(n - take, F.lit(0))))
-    change = F.try_divide(recent - older, older) * 100
+    return _let(older, lambda o: F.try_divide(recent - o, o) * 100)
+
+
+def trend_of(values: Column, direction_only: bool = False, change: Column | None = None) -> Column:
+    """Newest three (or half) against the rest: direction beyond ±10 %, size, days covered and confidence.
+
+    ``change`` names a column that already holds ``change_of(values)``.
+    """
+    n = F.size(values)
+    change = change_of(values) if change is None else change
     enough = n >= 2
     return F.struct(
         F.when(~enough, "insufficient_data")
@@ -150,9 +209,14 @@ def trajectories(campaigns: DataFrame, history: DataFrame, as_of: dt.date, agree
     age_of = lambda p: F.datediff(F.lit(as_of), p["month"])
 
     def mean_where(test):
-        return _mean(F.transform(F.filter("_priced", test), lambda p: p["cpl"]))
-
-    rows = rows.withColumn("_values", values)
+        """Mean cost of the months that pass, in one walk over the months."""
+        none = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+        add = lambda a, p: F.when(
+            test(p), F.struct((a["total"] + p["cpl"]).alias("total"), (a["n"] + 1).alias("n"))).otherwise(a)
+        return F.aggregate("_priced", none, add, lambda a: F.try_divide(a["total"], a["n"]))
+
+    # One column each, so that no later expression repeats it.
+    rows = rows.withColumn("_values", values).withColumn("_change", change_of(F.col("_values")))
     empty = F.size("_values") == 0
     out = rows.select(
         *[c for c in campaigns.columns],
@@ -160,7 +224,7 @@ def trajectories(campaigns: DataFrame, history: DataFrame, as_of: dt.date, agree
         F.when(F.col("running_cid_cpl") != 0, F.col("running_cid_cpl")).alias("current_cpl"),
         F.when(F.col("cpl_goal") != 0, F.col("cpl_goal")).alias("goal_cpl"),
         _quality(F.col("_n"), F.col("campaign_age_days")).alias("data_quality"),
-        trend_of(F.col("_values")).alias("trend"),
+        trend_of(F.col("_values"), change=F.col("_change")).alias("trend"),
         sparkline_of(F.col("_values")).alias("sparkline"),
         F.struct(
             mean_where(lambda p: age_of(p) <= 45).alias("last_30d_avg"),

@@ -129,8 +129,9 @@ def monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(floor(l_extendedprice * l_discount * 100) as bigint)").alias("cents"),
         F.expr("cast(l_quantity as bigint)").alias("units"),
     )
-    # The other keys depend on the order alone, so lines are added up before the accounts are joined.
-    totals = lines.groupBy("l_orderkey", "report_month").agg(F.sum("cents").alias("cents"), F.sum("units").alias("units"))
+    # The other keys depend on the order alone, so lines are added up before the accounts are joined. An order and month
+    # has about one line, so lines go to the task of their order at once, where both the sums and the join find them.
+    totals = lines.repartition("l_orderkey").groupBy("l_orderkey", "report_month").agg(F.sum("cents").alias("cents"), F.sum("units").alias("units"))
     keys = {n: e for n, e in HISTORY_KEYS.items() if n != "report_month"}
     return totals.join(_orders_with_accounts(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).select(
         *_exprs(keys),
