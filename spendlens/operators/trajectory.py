@@ -172,10 +172,16 @@ def sparkline_of(values: Column, keep: int = 7, newest: bool = False) -> Column:
     part = (
         F.slice(values, 1, keep) if newest else F.slice(values, F.greatest(n - (keep - 1), F.lit(1)), F.lit(keep))
     )
-    low, high = F.array_min(part), F.array_max(part)
-    scaled = F.transform(
-        part, lambda v: F.when(low == high, 50).otherwise(half_even(F.try_divide(v - low, high - low) * 100).cast("int"))
-    )
+
+    def scale(b):
+        low, high = b["low"], b["high"]
+        return F.transform(
+            b["part"], lambda v: F.when(low == high, 50).otherwise(half_even(F.try_divide(v - low, high - low) * 100).cast("int"))
+        )
+
+    # Cut and bounds are computed once per series, not once per value.
+    bounds = lambda p: F.struct(p.alias("part"), F.array_min(p).alias("low"), F.array_max(p).alias("high"))
+    scaled = _let(_let(part, bounds), scale)
     return F.when(n >= 2, scaled).otherwise(F.array().cast("array<int>"))
 
 

@@ -1,9 +1,11 @@
-"""Trajectories: one pass over the history, months of a campaign over several names."""
+"""Trajectories: one pass over the history, months of a campaign over several names, array expressions bound once."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from spendlens.operators import trajectory
 
 HISTORY = ("campaign_id bigint, report_month date, business_name string, campaign_name string, cost_per_lead double, "
@@ -48,3 +50,11 @@ def test_own_months_over_several_names(spark):
     borrowed = points["not a number", "P"]
     assert borrowed == points[None, "P"] and points[None, ""] is None
     assert borrowed[:3] == [(1, None, 99.0), (2, months[-1], 7.0), (3, months[18], 19.0)] and len(borrowed) == 12
+
+
+def test_sparkline_bounds_are_computed_once_per_series(spark):
+    df = spark.createDataFrame([([1.0, 3.0, 2.0],)], "v array<double>")
+    plan = df.select(trajectory.sparkline_of(F.col("v")).alias("s"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("array_min(") == 1 and text.count("slice(") == 1
+    assert plan.first().s == [0, 100, 50]
