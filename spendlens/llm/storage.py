@@ -26,11 +26,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: work done once, its lineage cut, safe against lost executors."""
+def saved(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Write df to the shared folder and read it back: work done once, its lineage cut, safe against lost executors.
+    options are those of the writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -244,6 +244,73 @@ def test_near_duplicates_bound_every_group(spark, monkeypatch):
     assert largest and largest[0] <= 2 * 20 * 1.7
 
 
+def test_near_duplicates_move_each_vector_once(spark, monkeypatch):
+    """Vectors without clusters: what is shuffled to be compared grows with the table, not with its square."""
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 60)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    moved, real = [], PandasGroupedOpsMixin.applyInArrow
+
+    def seen(self, func, schema):
+        moved.append(self._df.count())
+        return real(self, func, schema)
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", seen)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(240, 16))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base[:30], base[:30] + rng.normal(0, 0.1, (30, 16))]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == vectors_wanted(rows)
+    assert moved == [270]
+
+
+def test_near_duplicates_in_clusters_and_books(spark, monkeypatch):
+    """Single precision, many books, cells far apart and cells that touch; one vector makes up a third of the rows."""
+    monkeypatch.setattr(embedding_dedup, "PER_PIVOT", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "LEAST_BOOKS", 5)
+    rng = np.random.default_rng(10)
+    centers = rng.normal(size=(12, 6))
+    base = np.concatenate([c + rng.normal(0, s, (15, 6)) for c, s in zip(centers, np.linspace(0.05, 0.8, 12))] + [np.repeat(centers[:1], 90, 0)]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in zip(rng.permutation(len(base)).tolist(), base)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == vectors_wanted(rows)
+
+
+@pytest.mark.parametrize("dense", [0, 2])
+def test_links_of_blocks(monkeypatch, dense):
+    """A comparison by its close pairs, and by all products, in tiles: the same links as by brute force."""
+    monkeypatch.setattr(embedding_dedup, "DENSE", dense)
+    monkeypatch.setattr(embedding_dedup, "TILE", 50)
+    rng = np.random.default_rng(11)
+    rows = np.concatenate([c + rng.normal(0, 0.35, (40, 20)) for c in rng.normal(size=(5, 20))])
+    rows = np.concatenate([rows, np.eye(20)[:1], 0.9 * np.eye(20)[:1] + np.sqrt(1 - 0.81) * np.eye(20)[1:2]])
+    rng.shuffle(rows)
+    units = embedding_dedup._unit(rows)
+    turn, copies = embedding_dedup._Turn(units, 0.9), rng.integers(1, 5, len(rows))
+    turn.first = 8
+    blocks = [embedding_dedup._Block(rows[p], p + 1000, copies[p], turn) for p in np.split(np.arange(len(rows)), [93])]
+    counts, spans, space = np.zeros(len(rows), int), [], embedding_dedup._Space()
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        order = embedding_dedup._Order(*(np.zeros(len(blocks[k].cids)) for k in (i, j)), 0.0)
+        for of_a, of_b, low, high in embedding_dedup._links(blocks[i], blocks[j], order, 0.9, space):
+            counts[blocks[i].cids - 1000] += of_a
+            counts[blocks[j].cids - 1000] += of_b * (i != j)
+            spans += zip(low.tolist(), high.tolist())
+    linked = np.einsum("ik,jk->ij", units, units) >= 0.9
+    np.fill_diagonal(linked, False)
+    assert 100 < linked.sum() and counts.tolist() == (linked @ copies).tolist()
+    label = np.arange(len(rows))
+    for _ in rows:
+        label = np.minimum(label, np.where(linked, label[None], len(rows)).min(1))
+    spanned = np.arange(len(rows))
+    for _ in rows:
+        for low, high in spans:
+            spanned[low - 1000] = spanned[high - 1000] = min(spanned[low - 1000], spanned[high - 1000])
+    assert spanned.tolist() == label.tolist()
+
+
 def test_language_id_held_out(spark, small):
     got = queries.op4_language_id(spark, small)
     truth = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
